@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import bpe, chat, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
+    "op5_distribution_divergence": quality_rules.op5_distribution_divergence,
+    "op7_digest_cache_counts": token_counts.op7_digest_cache_counts,
     "op8_hash_tree_sharding": sharding.op8_hash_tree_sharding,
     "op10_typed_parts_chat": chat.op10_typed_parts_chat,
 }
