@@ -114,15 +114,17 @@ def _last(gap: np.ndarray) -> int:
     return -1
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE, table: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE, table: np.ndarray = _LOWER, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of the texts raw[off[i]:off[i+1]], and how many words each text has.
 
+    With prefixes the hashes are rows: the word, then its first so many bytes for each entry (0 if it is shorter).
+
     Works on the bytes of UTF-8, on whole texts, in steps of at most 1 MiB that end between words; a single
     longer word is hashed slice by slice.
     """
     power, inverse = _tables()
     at, end = int(off[0]), int(off[-1])
-    found, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found, first = [np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)], [np.zeros(0, np.int64)]
     while at < end:
         stop = min(at + _STEP, end)
         body = raw[at:stop]
@@ -139,7 +141,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE, ta
                     part = part[: rest[0]] if len(rest) else part
                     h = mix((h + np.uint64(len(part))) ^ (table[part] * power[: len(part)]).sum(dtype=np.uint64))
                     at += len(part)
-                found.append(h)
+                found.append(np.concatenate([h, np.zeros(len(prefixes), np.uint64)])[None] if prefixes else h)
                 continue
             stop = at + back
             body, gap = body[:back], gap[:back]
@@ -153,7 +155,11 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE, ta
         b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         sums = np.zeros(len(body) + 1, np.uint64)
         np.cumsum(table[body] * power[: len(body)], out=sums[1:])
-        found.append(mix((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64)))
+        h = mix((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64))
+        if prefixes:
+            heads = [np.where(e - b >= k, mix((sums[np.minimum(b + k, e)] - sums[b]) * inverse[b] + np.uint64(k << 32)), np.uint64(0)) for k in prefixes]
+            h = np.stack([h, *heads], 1)
+        found.append(h)
         first.append(b + at)
         at = stop
     return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(first), off))
