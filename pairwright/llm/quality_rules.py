@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialise, read
 
 SEPARATORS = r"[ \t\n\x0B\f\r]"
 #: Character classes of the histogram beside "any other"; separators come first, symbols second.
@@ -92,67 +93,74 @@ def distance(p: Column, reference: list[float]) -> Column:
 Reference = tuple[list[float], list[float]]
 
 
-def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> list[Reference]:
-    """Shares of character classes and common words in each language, over all documents of enough words.
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with a column _m: the counts and histograms of each text, worked out in one pass.  A null text is an empty one."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    w = let(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), word_histogram(w).alias("h"), repeated_words(w).cast("long").alias("r")))
+    first = docs.withColumn("_w", w).withColumn("_c", character_histogram(body))
+    duplicates = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return first.withColumn(
+        "_m",
+        F.struct(
+            F.col("_w.n").alias("n_words"), (F.length(body) - F.col("_c")[0].cast("long")).cast("long").alias("word_chars"), F.col("_c")[1].cast("long").alias("n_symbols"),
+            duplicates.alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_c").alias("chars"), F.col("_w.h").alias("words"),
+        ),
+    ).drop("_w", "_c")
+
+
+def references(measured: DataFrame, rules: Rules, lang: str = "lang") -> list[Reference]:
+    """Shares of character classes and common words in each language, over all measured documents of enough words.
 
     One row per language reaches the driver; languages with under min_language_share of these documents, and rows
     without one, make no reference (so there are at most 1 / min_language_share).
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(lang).alias("lang"), character_histogram(body).alias("c"), let(words(body), lambda w: F.struct(F.size(w).alias("n"), word_histogram(w).alias("h"))).alias("w")).where(F.col("lang").isNotNull() & (F.col("w.n") >= rules.min_histogram_words))
-    sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CHARACTERS) + 1)] + [F.sum(F.col("w.h")[i]).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    per_language = found.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    total = per_language.agg(F.sum("n").alias("all"))
-    rows = per_language.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("all") * rules.min_language_share).orderBy("lang").collect()
+    found = measured.where(F.col(lang).isNotNull() & (F.col("_m.n_words") >= rules.min_histogram_words))
+    sums = [F.sum(F.col("_m.chars")[i]).alias(f"c{i}") for i in range(len(CHARACTERS) + 1)] + [F.sum(F.col("_m.words")[i]).alias(f"w{i}") for i in range(len(COMMON) + 1)]
+    per_language = found.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), *sums)
+    least = math.ceil(found.count() * rules.min_language_share)
+    rows = per_language.where(F.col("n") >= least).orderBy("lang").collect()
     shares = lambda row, name, n: [row[f"{name}{i}"] / (sum(row[f"{name}{j}"] for j in range(n)) or 1.0) for i in range(n)]
     return [(shares(r, "c", len(CHARACTERS) + 1), shares(r, "w", len(COMMON) + 1)) for r in rows]
 
 
-def judge(docs: DataFrame, refs: list[Reference], rules: Rules, text: str = "text") -> DataFrame:
-    """docs with a column _judged: struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    char_distance, word_distance).
+def judge(measured: DataFrame, refs: list[Reference], rules: Rules) -> DataFrame:
+    """measured with base_failed, kept, char_distance and word_distance in _m in place of the histograms.
 
     Distances are to the nearest language.  A null or empty text has no words and fails; with no reference at all
     (an empty table, or no language) the divergence tests pass.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    chars = character_histogram(body)
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def nearest(histogram: Column, which: int) -> Column:
         return F.array_min(F.array(*(distance(histogram, r[which]) for r in refs))) if refs else F.lit(0.0)
 
-    w = let(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), word_histogram(w).alias("h"), repeated_words(w).cast("long").alias("r")))
-    first = docs.withColumn("_w", w).withColumn("_c", chars)
-    n, repeats = F.col("_w.n"), F.col("_w.r")
+    n, repeats = F.col("_m.n_words"), F.col("_m.n_repeat_words")
     base_failed = (n < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n)
-    second = first.withColumn("_d", F.struct(nearest(F.col("_c"), 0).alias("chars"), nearest(F.col("_w.h"), 1).alias("words")))
-    guard = n < rules.min_histogram_words
-    kept = ~base_failed & (guard | ((F.col("_d.chars") <= rules.max_char_distance) & (F.col("_d.words") <= rules.max_word_distance)))
-    return second.withColumn(
-        "_judged",
-        F.struct(
-            n.alias("n_words"), (F.length(body) - F.col("_c")[0].cast("long")).cast("long").alias("word_chars"), F.col("_c")[1].cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-            base_failed.alias("base_failed"), kept.alias("kept"), F.col("_d.chars").alias("char_distance"), F.col("_d.words").alias("word_distance"),
-        ),
-    ).drop("_w", "_c", "_d")
+    near = measured.withColumn("_d", F.struct(nearest(F.col("_m.chars"), 0).alias("chars"), nearest(F.col("_m.words"), 1).alias("words")))
+    kept = ~base_failed & ((n < rules.min_histogram_words) | ((F.col("_d.chars") <= rules.max_char_distance) & (F.col("_d.words") <= rules.max_word_distance)))
+    counts = [F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return near.withColumn("_m", F.struct(*counts, base_failed.alias("base_failed"), kept.alias("kept"), F.col("_d.chars").alias("char_distance"), F.col("_d.words").alias("word_distance"))).drop("_d")
 
 
 def quality_report(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of docs: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    char_distance, word_distance).  Repeated rows and null ids are kept; other columns don't matter; an empty table gives no rows."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return judge(found.select("doc_id", "text"), references(found, rules), rules).select("doc_id", "_judged.*")
+    char_distance, word_distance).
+
+    Measurements (without texts) are written once; references and verdicts come from them.  Repeated rows and null
+    ids are kept; other columns don't matter; an empty table gives no rows.
+    """
+    found = measure(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")))
+    measured = materialise(found.drop("text"), "quality")
+    return judge(measured, references(measured, rules), rules).select("doc_id", "_m.*")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at = {n: f"c{i}" for i, n in enumerate(names)}
-    kept = judge(plain, references(docs, rules, text, lang), rules, at[text]).where(F.col("_judged.kept"))
-    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    measured = materialise(measure(plain, f"c{names.index(text)}"), "quality")
+    kept = judge(measured, references(measured, rules, f"c{names.index(lang)}"), rules).where(F.col("_m.kept"))
+    return kept.drop("_m").toDF(*names)
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
