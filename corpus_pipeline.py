@@ -1,11 +1,61 @@
-"""Corpus preparation as stages, each a DataFrame to a DataFrame."""
+"""Corpus preparation in five stages: quality rules, toxicity, near duplicates, benchmark decontamination, encoding.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from pairwright.llm import bpe, decontaminate, jaccard_join, quality_rules, toxicity
+from pairwright.llm.common import materialise, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go; it learns from the labels of documents that are left."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by five-word shingles at 80 percent one stays."""
+    return jaccard_join.keep_one(docs, jaccard_join.Join(words=5, percent=80))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    found = bpe.encode_documents(docs, public_tokenizers.path(bpe.VOCABULARY), digests=True, keep=["doc_id", "lang", "source"])
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: Trained and tokenizer stages have no SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents; each stage's rows are written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, "stage")
     return docs
