@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from .common import pieces, read, scratch_path, texts
 
-CHUNK_BYTES, MEMO_WORDS = 8 << 20, 1_000_000
+CHUNK_BYTES, MEMO_WORDS = 2 << 20, 250_000
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -58,8 +58,8 @@ class WordCounter:
             self.memo.clear()
             new = {w for _, words in split for w in words}
         fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), 4000):
+            some = fresh[at : at + 4000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 self.memo[w] = len(e.ids)
         known = self.memo.__getitem__
