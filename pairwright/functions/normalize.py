@@ -126,9 +126,9 @@ def compress(df: DataFrame, key: str, column: str, min_tokens: int = 10) -> Data
     """
     short = F.size(F.filter(F.split(bare(F.col(column)), r"(?U)\s+"), lambda t: t != "")) <= min_tokens
     marked = df.select(key, F.col(column).alias("_t"), short.alias("_short"), strip(without_boilerplate(F.col(column))).alias("_clean"))
-    tokens = marked.where(~F.col("_short")).select(key, F.posexplode(F.split("_clean", r"(?U)\s+")).alias("i", "tok")).where(F.col("tok").rlike(SIGNAL))
-    first = tokens.groupBy(key, F.lower("tok").alias("low")).agg(F.min(F.struct("i", "tok")).alias("f"))
-    kept = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["tok"]), " ").alias("_kept"))
+    tokens = marked.where(~F.col("_short")).select(key, F.posexplode(F.split("_clean", r"(?U)\s+")).alias("_at", "_token")).where(F.col("_token").rlike(SIGNAL))
+    first = tokens.groupBy(key, F.lower("_token").alias("_low")).agg(F.min(F.struct("_at", "_token")).alias("_f"))
+    kept = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_f")), lambda x: x["_token"]), " ").alias("_kept"))
     done = marked.join(kept, key, "left").select(key, F.when(F.col("_short"), basic(F.col("_t"))).otherwise(F.coalesce("_kept", "_clean")).alias(column))
     return df.drop(column).join(done, key).select(*df.columns)
 
