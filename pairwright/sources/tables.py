@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ def read_records(spark: SparkSession, path: str, encoding: str = "utf-8", separa
     Without a separator one is sniffed from the first lines, which Spark reads, so any file system will do.
     A file that isn't there raises.
     """
+    encoding = codecs.lookup(encoding).name.replace("iso8859", "iso-8859")
     if separator is None:
         separator = sniff("\n".join(r.value for r in spark.read.option("encoding", encoding).text(path).limit(20).collect()))
     read = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
