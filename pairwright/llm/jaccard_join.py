@@ -46,8 +46,8 @@ class Join:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
     def sketch_bits(self, n: int) -> int:
-        """A power of 2 of at least 64 and four times the allowed difference of sets of n: unrelated sets differ in half of them."""
-        return 1 << max(6, math.ceil(math.log2(max(1.0, 4 * 2 * n * (100 - self.percent) / (100 + self.percent)))))
+        """A power of 2 of at least 512 and eight times the allowed difference of sets of n: few sets that differ more look nearer."""
+        return 1 << max(9, math.ceil(math.log2(max(1.0, 8 * 2 * n * (100 - self.percent) / (100 + self.percent)))))
 
 
 # ---- shingle sets ----------------------------------------------------------------------------------------------
@@ -277,9 +277,12 @@ def components(links: DataFrame) -> DataFrame:
 # ---- the join --------------------------------------------------------------------------------------------------
 
 
-def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Join) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Join, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a key and pass the sketches: all of them, each bucket compared whole.
 
+    With nearest, only the one with the nearest sketch for each set: as many rows as members, which join most of what
+    there is to join before all pairs between the components that are left are looked at.
+
     A bucket of more than BLOCK members is split in blocks and each two blocks meet in a task, so no task holds a
     bucket; buckets within one component are done.
     """
@@ -314,7 +317,10 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
                     cache[key] = np.frombuffer(fold(sketch[k], size), np.uint64)
                 rows.append(cache[key])
             bits = np.bitwise_count(np.stack(rows) ^ np.frombuffer(sketch[r], np.uint64)).sum(1, dtype=np.int64)
-            at = at[bits <= join.difference(n[at], n[r])]
+            near_enough = bits <= join.difference(n[at], n[r])
+            at, bits = at[near_enough], bits[near_enough]
+            if nearest and len(at):
+                at = at[[bits.argmin()]]
             left.append(np.full(len(at), ids[r]))
             right.append(ids[at])
         none = np.zeros(0, np.int64)
@@ -350,8 +356,9 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
 
     Documents whose shingle sets link, directly or over others, have one component, named by its smallest doc_id.
     Equal sets are one set from the start (met before the shuffle, in each task).  Distinct sets meet under keys of
-    the heavy-light scheme; first every set of a bucket is verified against the bucket's first, then, by sketches
-    and texts, against all sets of other components, so no link between components is missed.  A text without
+    the heavy-light scheme; first every set of a bucket is verified against the bucket's first, then against the
+    nearest of another component by sketch, then, by sketches and texts, against all sets of other components, so no
+    link between components is missed.  A text without
     words has 0 shingles and its own component; so has a row with a null doc_id, whose component_id is null.
     Repeated rows get equal results; doc_id is taken as unique otherwise.  Columns beside doc_id (an integer) and
     text aren't read.  An empty table gives no rows.
@@ -367,9 +374,11 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
     stars = members.where(fits & (F.col("first") < F.col("id"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(verify(near(stars, distinct, join), bare, join), "links")
     labels = components(links)
-    more = materialise(verify(across(members, labels, distinct, join), bare, join), "links")
-    if more.take(1):
-        labels = components(links.union(more))
+    for nearest in (True, False):
+        more = materialise(verify(across(members, labels, distinct, join, nearest), bare, join), "links")
+        if more.take(1):
+            links = links.union(more)
+            labels = components(links)
     named = distinct.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
     every = described.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return every.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
