@@ -19,7 +19,7 @@ BITS, WIDTH, FILTERS, SPANS = 22, 8, 8, (1, 2, 3)
 #: A word has a bucket for itself and one for each of these prefixes, in bytes; its embedding is their sum.
 PREFIXES = (4, 5, 6, 7)
 #: A bucket is embedded if it is in so many sample documents and its presence is tied to the label by this many standard errors.
-LEAST_DOCUMENTS, LEAST_Z = 3, 4.0
+LEAST_DOCUMENTS, LEAST_Z = 3, 5.0
 CHUNK_BYTES = 2 << 20
 #: Bytes between words: all ASCII but letters, digits and the apostrophe.
 _GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -89,9 +89,12 @@ class Convolution:
     out_bias: float
     threshold: np.ndarray
 
+    def embed(self, rows: np.ndarray) -> np.ndarray:
+        return sum(self.embedding[rows[:, c]] for c in range(rows.shape[1]))
+
     def windows(self, rows: np.ndarray, whose: np.ndarray, texts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each span: the first rows of the windows that hold an embedded word, their texts, their filters before the bias."""
-        x = self.embedding[rows].sum(1)
+        x = self.embed(rows)
         out = []
         for f, span in zip(self.filters, SPANS, strict=True):
             hit = np.flatnonzero(whose >= 0)
@@ -165,7 +168,7 @@ def fit(slot: np.ndarray, docs: list[np.ndarray], y: np.ndarray, lang: np.ndarra
             d = (p - y[group]) * weight[group] / len(group)
             gh = d[:, None] * m.out * (hidden > 0)
             ge = 1e-4 * m.embedding
-            x = m.embedding[rows].sum(1)
+            x = m.embed(rows)
             for k, span in enumerate(SPANS):
                 g = gh[:, k * FILTERS : (k + 1) * FILTERS]
                 adam(f"b{k}", m.bias[k], g.sum(0), rate)
@@ -185,7 +188,7 @@ def fit(slot: np.ndarray, docs: list[np.ndarray], y: np.ndarray, lang: np.ndarra
             bias = np.array([m.out_bias])
             adam("ob", bias, np.array([d.sum()]), rate)
             m.out_bias = float(bias[0])
-    logit = m.logit(*_join(docs), len(docs))
+    logit = np.concatenate([m.logit(*_join(docs[at : at + batch]), len(docs[at : at + batch])) for at in range(0, len(docs), batch)])
     overall = _cut(logit, y)
     for k in range(len(HINTS) + 1):
         mine = lang == k
