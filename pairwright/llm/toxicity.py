@@ -155,7 +155,7 @@ def fit(slot: np.ndarray, docs: list[np.ndarray], y: np.ndarray, lang: np.ndarra
             for k, (first, owner, value) in enumerate(found):
                 best, where = np.zeros((len(group), FILTERS)), np.full((len(group), FILTERS), -1)
                 begins = np.flatnonzero(np.diff(owner, prepend=-1))
-                for b, e in zip(begins, [*begins[1:], len(owner)], strict=True):
+                for b, e in zip(begins, [*begins[1:], len(owner)][: len(begins)], strict=True):
                     top = value[b:e].argmax(0)
                     v = value[b:e][top, np.arange(FILTERS)]
                     i = owner[b]
