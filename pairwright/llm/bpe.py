@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import pieces, read, texts
 
 #: Bytes of text encoded at a time, and words that a worker remembers.
-CHUNK_BYTES, MEMO_WORDS = 16 << 20, 400_000
+CHUNK_BYTES, MEMO_WORDS = 4 << 20, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
