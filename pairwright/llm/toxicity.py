@@ -209,6 +209,7 @@ def _cut(logit: np.ndarray, y: np.ndarray) -> float:
     s, t = logit[order], y[order]
     errors = np.concatenate([[0], np.cumsum(t == 1)]) + np.concatenate([np.cumsum((t == 0)[::-1])[::-1], [0]])
     edges = np.concatenate([[s[0] - 4], s, [s[-1] + 4]])
+    errors = np.where(np.diff(edges) > 1e-9, errors, len(y) + 1)  # equal logits can't be told apart
     least = np.flatnonzero(errors == errors.min())
     k = least[np.argmax(edges[least + 1] - edges[least])]
     return float((edges[k] + edges[k + 1]) / 2)

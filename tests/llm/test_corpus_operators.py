@@ -181,6 +181,12 @@ def test_keep_clean(spark):
     assert kept.columns == docs.columns and sum(i in ids for i, (_, x) in truth.items() if x == 0) >= 150 and sum(i in ids for i, (_, x) in truth.items() if x) <= 10
 
 
+def test_threshold_between_ties():
+    """Equal logits fall on one side, whatever the order of their labels."""
+    for y in ([1, 0, 0, 0, 1], [0, 0, 0, 1, 1]):
+        assert 0 < toxicity._cut(np.array([0.0, 0, 0, 0, 2]), np.array(y)) < 2
+
+
 def test_ranking_gradient():
     """Preference pairs order the scores; the threshold is the quantile of the low share."""
     rng = np.random.default_rng(0)
