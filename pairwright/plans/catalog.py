@@ -605,8 +605,11 @@ def condensed_pairs(spark, d):
 
 
 def part_tables(spark, d):
-    """Parts, and parts with every second name in capitals under a shifted key: a linkage task with known answers."""
-    a = part_records(spark, d).where("id % 4 = 0").withColumn("id", F.col("id").cast("string"))
+    """All parts, and all parts with some names (keys that 8 divides) in capitals: a linkage task with known answers.
+
+    Records are dealt out, for every one of A meets every one of B, and a small file would be a single task.
+    """
+    a = part_records(spark, d).withColumn("id", F.col("id").cast("string")).repartition(8 * spark.sparkContext.defaultParallelism, "id")
     b = a.withColumn("name", F.when(F.col("id").cast("long") % 8 == 0, F.upper("name")).otherwise(F.col("name"))).withColumn("price", F.col("price"))
     return a, b, a.select(F.col("id").alias("idA"), F.col("id").alias("idB"))
 
@@ -614,7 +617,7 @@ def part_tables(spark, d):
 def part_blocks(spark, d):
     a, b, g = part_tables(spark, d)
     cols = ["name", "brand", "type"]
-    return a, b, g, blocking.block(embedding.embed(a, cols), embedding.embed(b, cols), 5, 8, top_k=3, dimensions=64 * len(cols))
+    return a, b, g, blocking.block(embedding.embed(a, cols), embedding.embed(b, cols), 5, 8, top_k=3, dimensions=64 * len(cols)).persist()
 
 
 @query()

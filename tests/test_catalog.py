@@ -37,3 +37,13 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(want)
     else:
         assert len(got)
+
+
+def test_part_tables_hold_every_part(spark):
+    ids = {str(r.p_partkey) for r in catalog.table(spark, DATA, "part").collect()}
+    a, b, g = (t.collect() for t in catalog.part_tables(spark, DATA))
+    assert len(a) == len(b) == len(g) == len(ids) and {r.id for r in a} == {r.id for r in b} == {r.idA for r in g} == ids
+    before = {r.id: r.name for r in a}
+    assert all(r.name == (before[r.id].upper() if int(r.id) % 8 == 0 else before[r.id]) for r in b)
+    found = catalog.QUERIES["adaptive_attributes"](spark, DATA).select("idA").distinct().count()
+    assert found == len(ids)
