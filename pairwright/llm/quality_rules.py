@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +22,14 @@ COMMON = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits: least words, most repeated words in percent, largest Jensen-Shannon distances, least words of a histogram's document."""
+    """Limits: least words, most repeated words in percent, largest Jensen-Shannon distances, least words of a histogram's document, least documents of a reference."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_char_distance: float = 0.15
     max_word_distance: float = 0.26
     min_histogram_words: int = 50
-    min_language_share: float = 0.005
+    min_language_documents: int = 10
 
 
 def let(value: Column, body) -> Column:
@@ -78,9 +77,9 @@ def repeated_words(w: Column) -> Column:
     return let(windows, twice)
 
 
-def distance(p: Column, reference: list[float]) -> Column:
+def distance(p: Column, reference: Column | list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of a count histogram from a reference of shares; 1 for an empty histogram."""
-    q = F.array(*map(F.lit, reference))
+    q = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
 
     def term(a: Column, m: Column) -> Column:
@@ -90,9 +89,6 @@ def distance(p: Column, reference: list[float]) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(F.lit(1.0))
 
 
-Reference = tuple[list[float], list[float]]
-
-
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column _m: the counts and histograms of each text, worked out in one pass.  A null text is an empty one."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -109,35 +105,41 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_w", "_c")
 
 
-def references(measured: DataFrame, rules: Rules, lang: str = "lang") -> list[Reference]:
-    """Shares of character classes and common words in each language, over all measured documents of enough words.
+def references(measured: DataFrame, rules: Rules, lang: str = "lang") -> DataFrame:
+    """One row with an array _refs of (lang, chars, words): shares of character classes and common words in each
+    language, over all measured documents of enough words.
 
-    One row per language reaches the driver; languages with under min_language_share of these documents, and rows
-    without one, make no reference (so there are at most 1 / min_language_share).
+    Every language with min_language_documents of them has a reference, however small its share; rows without a
+    language make none.
     """
     found = measured.where(F.col(lang).isNotNull() & (F.col("_m.n_words") >= rules.min_histogram_words))
     sums = [F.sum(F.col("_m.chars")[i]).alias(f"c{i}") for i in range(len(CHARACTERS) + 1)] + [F.sum(F.col("_m.words")[i]).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    per_language = found.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), *sums)
-    least = math.ceil(found.count() * rules.min_language_share)
-    rows = per_language.where(F.col("n") >= least).orderBy("lang").collect()
-    shares = lambda row, name, n: [row[f"{name}{i}"] / (sum(row[f"{name}{j}"] for j in range(n)) or 1.0) for i in range(n)]
-    return [(shares(r, "c", len(CHARACTERS) + 1), shares(r, "w", len(COMMON) + 1)) for r in rows]
+    per_language = found.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), *sums).where(F.col("n") >= rules.min_language_documents)
+
+    def shares(name: str, n: int) -> Column:
+        total = sum((F.col(f"{name}{i}") for i in range(n)), F.lit(0.0))
+        return F.array(*(F.col(f"{name}{i}") / F.when(total == 0, F.lit(1.0)).otherwise(total) for i in range(n)))
+
+    row = F.struct("lang", shares("c", len(CHARACTERS) + 1).alias("chars"), shares("w", len(COMMON) + 1).alias("words"))
+    return per_language.agg(F.sort_array(F.collect_list(row)).alias("_refs"))
 
 
-def judge(measured: DataFrame, refs: list[Reference], rules: Rules) -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame, rules: Rules, lang: str = "lang") -> DataFrame:
     """measured with base_failed, kept, char_distance and word_distance in _m in place of the histograms.
 
-    Distances are to the nearest language.  A null or empty text has no words and fails; with no reference at all
-    (an empty table, or no language) the divergence tests pass.
+    Distances are to the nearest language, and 0 with no reference at all (an empty table, or no language).  The
+    divergence tests pass for a document whose language has no reference, so another language's doesn't decide; one
+    without a language is held against all of them.  A null or empty text has no words and fails.
     """
 
-    def nearest(histogram: Column, which: int) -> Column:
-        return F.array_min(F.array(*(distance(histogram, r[which]) for r in refs))) if refs else F.lit(0.0)
+    def nearest(part: str) -> Column:
+        return F.coalesce(F.array_min(F.transform("_refs", lambda r: distance(F.col(f"_m.{part}"), r[part]))), F.lit(0.0))
 
     n, repeats = F.col("_m.n_words"), F.col("_m.n_repeat_words")
     base_failed = (n < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n)
-    near = measured.withColumn("_d", F.struct(nearest(F.col("_m.chars"), 0).alias("chars"), nearest(F.col("_m.words"), 1).alias("words")))
-    kept = ~base_failed & ((n < rules.min_histogram_words) | ((F.col("_d.chars") <= rules.max_char_distance) & (F.col("_d.words") <= rules.max_word_distance)))
+    unknown = F.col(lang).isNotNull() & ~F.exists("_refs", lambda r: r["lang"] == F.col(lang))
+    near = measured.crossJoin(F.broadcast(refs)).withColumn("_d", F.struct(nearest("chars").alias("chars"), nearest("words").alias("words"), unknown.alias("unknown"))).drop("_refs")
+    kept = ~base_failed & ((n < rules.min_histogram_words) | F.col("_d.unknown") | ((F.col("_d.chars") <= rules.max_char_distance) & (F.col("_d.words") <= rules.max_word_distance)))
     counts = [F.col(f"_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return near.withColumn("_m", F.struct(*counts, base_failed.alias("base_failed"), kept.alias("kept"), F.col("_d.chars").alias("char_distance"), F.col("_d.words").alias("word_distance"))).drop("_d")
 
@@ -159,7 +161,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang:
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     measured = materialise(measure(plain, f"c{names.index(text)}"), "quality")
-    kept = judge(measured, references(measured, rules, f"c{names.index(lang)}"), rules).where(F.col("_m.kept"))
+    kept = judge(measured, references(measured, rules, f"c{names.index(lang)}"), rules, f"c{names.index(lang)}").where(F.col("_m.kept"))
     return kept.drop("_m").toDF(*names)
 
 

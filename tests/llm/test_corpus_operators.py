@@ -313,6 +313,19 @@ def test_quality_rules(spark):
     assert quality_rules.quality_report(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [15, 3])
+def test_quality_rules_keep_small_languages(spark, few):
+    rng = random.Random(7)
+    text = lambda common, other: " ".join(w + rng.choice(["", "s", "x", "y"]) for w in rng.choices(common * 2 + other, k=120)) + " " + " ".join(rng.choices(common, k=80))
+    en = [(i, text(["the", "of", "and", "to", "in", "was"], ["Vale", "stone", "river"]), "en") for i in range(few * 300)]
+    ru = [(100_000 + i, " ".join(rng.choice(["дом", "река", "Камень", "светлый", "шёл", "город,", "поле."]) + rng.choice(["а", "у", "ом", "ы"]) for _ in range(200)), "ru") for i in range(few)]
+    junk = [(200_000, " ".join(w + "%%%" for w in en[0][1].split()), "en")]
+    docs = spark.createDataFrame(en + ru + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules.quality_report(docs).where("kept").collect()}
+    assert kept >= {i for i, _, _ in ru} and 200_000 not in kept
+    assert {r.doc_id for r in quality_rules.keep_good(docs).select("doc_id").collect()} == kept
+
+
 def test_distance(spark):
     p, q = np.array([3.0, 1.0, 0.0]), np.array([0.2, 0.3, 0.5])
     x, m = p / 4, (p / 4 + q) / 2
