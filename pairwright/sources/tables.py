@@ -38,7 +38,7 @@ def read_records(spark: SparkSession, path: str, encoding: str = "utf-8", separa
 
 @dataclass(frozen=True)
 class Dataset:
-    """Two record tables, the pairs known to match, and how to block them."""
+    """Two record tables, the pairs known to match, how to block them and how to select attributes."""
 
     name: str
     path_a: str
@@ -54,6 +54,10 @@ class Dataset:
     flips: int = 1
     top_k: int = 5
     profile_size: int = 20
+    mass: float = 0.8
+    min_k: int = 2
+    max_k: int | None = 5
+    required_roles: tuple[str, ...] = ("identity",)
     normalise: bool = True
 
 
