@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import importance, normalize, similarity
 from ..operators import blocking, embedding, matching, metrics, pairs, selection
 from ..operators.selection import HybridSelector, OfflineProfiler
-from ..sources import tables
+from ..sources import shared, tables
 from ..sources.cache import DecisionCache
 from . import linkage
 
@@ -46,11 +45,6 @@ def sql_listed(expr: str, digits: int = 6) -> str:
     return f"array_to_string(list_transform({expr}, lambda v: cast(cast(round(v + 1e-9, {digits}) as decimal(18,6)) as varchar)), ',')"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- normalisation ----
 
 _TEXT_SQL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(coalesce({0}, '')), '`"', ''' '), '\\\\+''', '''', 'g'), '[ \\t\\n\\r\\x0b\\f]*&[ \\t\\n\\r\\x0b\\f]*', ' and ', 'g'), '[^a-z0-9#&/.''+-]+', ' ', 'g'), '^[ '']+|[ '']+$', '', 'g')"""
@@ -105,7 +99,7 @@ def record_ids_last_wins(spark, d):
 @query("select cast(p_partkey as varchar) as id, p_name as name, nullif(p_brand, '') as brand, cast(p_size as varchar) as size from part")
 def delimited_records(spark, d):
     """Parts written as tab-separated text and read back with a sniffed separator."""
-    path = shared_folder(spark, "records")
+    path = shared.new_path(spark, "records")
     table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).write.option("header", True).option("sep", "\t").csv(path)
     return tables.read_records(spark, path)
 
@@ -386,7 +380,7 @@ def balanced_profile_sample(spark, d):
 @query(_LSH + ", p as (select idA || '' as idxA, idB || '' as idxB, 0 as label from top anti join gold using (idA, idB)) select * from p")
 def negative_pairs_file(spark, d):
     """Hard negatives written as delimited text and read back."""
-    path = shared_folder(spark, "negatives")
+    path = shared.new_path(spark, "negatives")
     tables.write_pairs(hard_negatives(spark, d).select(F.col("idA").alias("idxA"), F.col("idB").alias("idxB"), "label"), path)
     return tables.read_pairs(spark, path)
 
@@ -563,7 +557,7 @@ def match_results(spark, d):
 @query(_MATCH + " select idA, idB, answer, true as cache_hit from m")
 def match_results_cached(spark, d):
     """A second run over the table that the first filled."""
-    cache = DecisionCache(shared_folder(spark, "decisions"))
+    cache = DecisionCache(shared.new_path(spark, "decisions"))
     neighbour_results(spark, d, cache).count()
     return neighbour_results(spark, d, cache).select("idA", "idB", "answer", "cache_hit")
 
@@ -654,7 +648,7 @@ def incremental_linkage(spark, d):
     from ..streaming.incremental import link_stream
 
     a, b, _ = part_tables(spark, d)
-    src, out, mark = (shared_folder(spark, n) for n in ("arrivals", "linked", "progress"))
+    src, out, mark = (shared.new_path(spark, n) for n in ("arrivals", "linked", "progress"))
     a.repartition(2).write.parquet(src)
     link_stream(spark.readStream.schema(a.schema).parquet(src), b, ["name", "brand"], out, mark, once=True).awaitTermination()
     return spark.read.parquet(out).select("idA", "idB", r6("sim").alias("sim"), "rank")
