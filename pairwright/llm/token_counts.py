@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import pieces, read, scratch_path, texts
+from .common import pieces, read, new_path, texts
 
 CHUNK_BYTES, MEMO_WORDS = 2 << 20, 250_000
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -123,4 +123,4 @@ VOCABULARY = "word_bpe_49k.json"
 
 def op7_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, over a cache that starts empty with every call."""
-    return count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), scratch_path(spark, "token-cache"))
+    return count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), new_path(spark, "token-cache"))
