@@ -157,7 +157,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: Budget = B
     """
     names = docs.columns
     kind = "array<struct<item_id:bigint,distance:int,end:bigint>>"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
     at = names.index(text)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_hits", F.array().cast(kind))
     for block in blocks(benchmark, budget, item_id, item_text):
@@ -170,12 +169,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: Budget = B
                 for i, j in pieces(off, CHUNK_BYTES):
                     part = batch.slice(i, j - i)
                     found = [matcher.find(normalise(t)) for t in part.column(at).fill_null("").to_pylist()]
-                    if any(found):
-                        old = part.column(len(names)).to_pylist()
-                        hits = pa.array([o + [{"item_id": a, "distance": d, "end": e} for a, d, e in f] for o, f in zip(old, found, strict=True)], arrow)
-                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], hits], names=part.schema.names)
-                    else:
-                        yield part
+                    old = part.column(len(names))
+                    hits = pa.array([o + [{"item_id": a, "distance": d, "end": e} for a, d, e in f] for o, f in zip(old.to_pylist(), found, strict=True)], old.type)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], hits], schema=part.schema)
 
         plain = plain.mapInArrow(run, plain.schema)
     return plain.withColumn("_hits", F.array_sort("_hits")).toDF(*names, "_hits")
