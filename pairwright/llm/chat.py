@@ -28,9 +28,10 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def text_part(text: Column) -> Column:
-    """A plain text as a list of one typed part."""
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))).cast(PARTS)
+def text_parts(text: Column) -> Column:
+    """A plain text as typed text parts, one a line (each keeps its line break)."""
+    nothing = F.lit(None)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=\n)"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"), nothing.cast("string").alias("ref"), nothing.cast("long").alias("units"))).cast(PARTS)
 
 
 def visit(parts: Column) -> Column:
@@ -41,7 +42,8 @@ def visit(parts: Column) -> Column:
     Attachments are struct(slot, type, ref, tokens) in order of their placeholders; tokens is their sum.
     """
     kinds = list(TOKENS)
-    held = F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: p["type"].isin(kinds))
+    every = F.coalesce(parts, F.array().cast(PARTS))
+    is_held = lambda p: F.coalesce(p["type"].isin(kinds), F.lit(False))
 
     def attachment(p: Column, slot: Column) -> Column:
         tokens = F.lit(0).cast("long")
@@ -49,32 +51,28 @@ def visit(parts: Column) -> Column:
             tokens = F.when(p["type"] == kind, F.lit(base) + F.lit(unit) * F.greatest(F.coalesce(p["units"], F.lit(1)), F.lit(0))).otherwise(tokens)
         return F.struct(slot.alias("slot"), p["type"].alias("type"), p["ref"].alias("ref"), tokens.cast("long").alias("tokens"))
 
-    def step(acc: Column, p: Column) -> Column:
-        is_held = F.coalesce(p["type"].isin(kinds), F.lit(False))
-        piece = F.when(is_held, F.concat(F.lit("<|"), p["type"], F.lit(":"), acc["slots"].cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-        return F.struct(F.concat(acc["pieces"], F.array(piece)).alias("pieces"), (acc["slots"] + is_held.cast("int")).alias("slots"))
-
-    start = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("slots"))
-    one = (F.size(parts) == 1) & (parts[0]["type"] == "text")
-    many = F.aggregate(F.coalesce(parts, F.array().cast(PARTS)), start, step, lambda acc: F.array_join(acc["pieces"], ""))
-    attachments = F.transform(held, attachment)
-    return F.struct(
-        F.when(one, escape(F.coalesce(parts[0]["text"], F.lit("")))).otherwise(many).alias("body"), attachments.alias("attachments"), F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens")
-    )
+    def piece(p: Column, i: Column) -> Column:
+        slot = F.size(F.filter(F.slice(every, F.lit(1), i), is_held))
+        return F.when(is_held(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), slot.cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+
+    attachments = F.transform(F.filter(every, is_held), attachment)
+    return F.struct(F.array_join(F.transform(every, piece), "").alias("body"), attachments.alias("attachments"), F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"))
 
 
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: (conv_id, formatted, loss_spans, attachments, n_turns, attachment_tokens).
 
-    `parts` is a column of type PARTS.  Turns are ordered by (turn, role, body), nulls first, so ties and repeated
-    rows have one order and each is a turn; a null role is an empty one; rows with a null conv_id are one
+    `parts` is a column of type PARTS.  Turns are ordered by (turn, role, body before escapes), nulls first, so ties
+    and repeated rows have one order and each is a turn; a null role is an empty one; rows with a null conv_id are one
     conversation.  formatted is `<|im_start|>role\\nbody<|im_end|>\\n` for each turn, with `&`, `<` and `[` of role
     and texts as entities.  loss_spans are struct(turn, start, end): code points of the bodies of trained_role,
     counted from the beginning of that turn's chunk.  attachments are struct(turn, slot, type, ref, tokens).
     A conversation is one row of the result, so its turns meet in one task; nothing larger does.
     """
     flat = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"))
-    grouped = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("v.body").alias("body"), F.col("v.attachments").alias("attachments"), F.col("v.tokens").alias("tokens")))).alias("t"))
+    met = flat.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "v")).alias("t"))
+    with_raw = F.transform("t", lambda t: F.struct(t["turn"], t["role"], unescape(t["v"]["body"]).alias("raw"), t["v"]["body"].alias("body"), t["v"]["attachments"].alias("attachments"), t["v"]["tokens"].alias("tokens")))
+    grouped = met.select("conv_id", F.sort_array(with_raw).alias("t"))
     head = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(MIDDLE))
     chunk = lambda t: F.concat(head(t), t["body"], F.lit(STOP))
     spans = F.transform("t", lambda t, i: F.struct(i.alias("turn"), F.length(head(t)).alias("start"), (F.length(head(t)) + F.length(t["body"])).alias("end"), t["role"].alias("role")))
@@ -120,7 +118,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def op10_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -7, formatted and read back from the output."""
     turns = with_probe(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    return digest(read_back(format_conversations(turns.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))))
+    return digest(read_back(format_conversations(turns.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))))
 
 
 ORACLE = f"""
