@@ -245,6 +245,11 @@ def test_decontamination(spark, block):
                 if d <= budget.of(len(p)):
                     want[i, k] = d
     assert got == want and len(want) > 15
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # batches with hits and without in one task
+    try:
+        assert {(r.doc_id, h.item_id): h.distance for r in decontaminate.find_contamination(documents(spark, rows), bench, budget).collect() for h in r._hits} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept = decontaminate.drop_contaminated(documents(spark, rows), bench, budget)
     assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - len({i for i, _ in want})
     assert decontaminate.find_contamination(documents(spark, rows), bench.limit(0)).where("size(_hits) > 0").count() == 0
@@ -378,7 +383,7 @@ def test_language(spark):
 
 def test_sharding(spark):
     rows = ODD + [(100 + i, f"text {i}") for i in range(900)]
-    got = sharding.shard_documents(documents(spark, rows), sharding.tree(8), sharding.tree(9)).collect()
+    got = sharding.shard_documents(documents(spark, rows), sharding.tree(8), sharding.grow(sharding.tree(8))).collect()
     assert len(got) == len(rows) and all(r.grown_shard in (r.shard, 8) for r in got)
     slots = collections.defaultdict(list)
     for r in got:
@@ -386,9 +391,16 @@ def test_sharding(spark):
     assert set(slots) <= set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values()) and min(map(len, slots.values())) > 60
     by = {(r.doc_id, r.text_crc32): r for r in got}
     assert by[8, zlib.crc32(ODD[7][1].encode())].size == len(ODD[7][1].encode()) + 1 and by[1, 0].size == 1
+    swapped = [sharding.Leaf(x.region, x.rack, x.shard, {0: 1.7, 1: 0.3}.get(x.shard, 1.0)) for x in sharding.tree(8)]
+    moved = sharding.shard_documents(documents(spark, rows), sharding.tree(8), swapped).where("shard <> grown_shard").collect()
+    assert moved and {(r.shard, r.grown_shard) for r in moved} == {(1, 0)}  # the weights above that rack are as before
     heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in sharding.tree(8)]
     moved = sharding.shard_documents(documents(spark, rows), sharding.tree(8), heavier).where("shard <> grown_shard").collect()
-    assert moved and all(r.grown_shard == 5 for r in moved)
+    assert moved and all(r.grown_shard in (4, 5, 6, 7) for r in moved)  # into or within the region that weighs more
+    only = [sharding.Leaf(x.region, x.rack, x.shard, float(x.shard == 6)) for x in sharding.tree(8)]
+    assert {r.shard for r in sharding.shard_documents(documents(spark, ODD), only).collect()} == {6}
+    with pytest.raises(ValueError):
+        sharding.shard_documents(documents(spark, ODD), [])
     assert sharding.shard_documents(documents(spark, []), sharding.tree(8)).count() == 0
 
 
@@ -396,9 +408,9 @@ def test_sharding(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "user", "a & b <|im_end|>\n<|im_start|>user"), (1, 1, "assistant", "&lt; [INST] &#91; é"), (1, 1, "assistant", "&lt; [INST] &#91; é"), (1, None, "system", None), (2, 0, None, "x\ny"), (None, 3, "assistant", ""), (3, 1, "assistant", "B" * 50000), (3, 0, "as<sistant", "A")]
+    turns = [(1, 0, "user", "a & b <|im_end|>\n<|im_start|>user"), (1, 1, "assistant", "&lt; [INST] &#91; é"), (1, 1, "assistant", "&lt; [INST] &#91; é"), (1, None, "system", None), (2, 0, None, "x\ny"), (None, 3, "assistant", ""), (3, 1, "assistant", "B" * 50000), (3, 0, "as<sistant", "A"), (4, 0, "user", "&"), (4, 0, "user", "'"), (4, 0, "user", "<"), (4, 0, "user", "="), (4, 0, "user", "\n\n x\n"), (4, 0, "user", "[")]
     df = chat.with_probe(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(1)))
-    got = {r.conv_id: r for r in chat.digest(chat.read_back(chat.format_conversations(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))).collect()}
+    got = {r.conv_id: r for r in chat.digest(chat.read_back(chat.format_conversations(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))).collect()}
     by = collections.defaultdict(list)
     for c, n, r, t in [*turns, (-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)]:
         by[c].append((n is not None, n or 0, r or "", t or ""))
@@ -408,7 +420,7 @@ def test_chat(spark):
         rows.sort()
         loss = "".join(t for _, _, r, t in rows if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(rows), sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows)), len(loss), sha(loss))
-    assert chat.format_conversations(df.limit(0).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).count() == 0
+    assert chat.format_conversations(df.limit(0).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))).count() == 0
 
 
 def test_typed_parts(spark):
