@@ -12,23 +12,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces, read, texts, word_hashes
+from .common import discard, materialise, mix, pieces, read, texts, word_hashes
 
 CHUNK_BYTES = 2 << 20
 #: Cells of the frequency sketch (a power of 2): its size, and so that of the broadcast, is fixed.
 CELLS = 1 << 20
-#: Members of a bucket block that one task compares with another block.
-BLOCK = 512
+#: Members of a bucket block that one task compares with another block, and bytes of sketches that it compares at a time.
+BLOCK, COMPARE_BYTES = 2048, 4 << 20
 
 
 @dataclass(frozen=True)
 class Join:
-    """words: shingle length.  percent: sets link when 100 * intersection >= percent * union.
-    frequent: share of documents beyond which a shingle goes to the end of the global order."""
+    """words: shingle length.  percent: sets link when 100 * intersection >= percent * union."""
 
     words: int = 5
     percent: int = 80
-    frequent: float = 0.001
 
     def overlap(self, n: int) -> int:
         """The least intersection of a set of n with any set it links with: ceil(percent * n / 100)."""
@@ -85,34 +83,37 @@ def sets(column: pa.Array, join: Join) -> Iterator[tuple[int, int, np.ndarray, n
 def frequency_levels(docs: DataFrame, join: Join) -> np.ndarray:
     """A level for each sketch cell: 0 for cells of rare shingles, more with each doubling beyond.
 
-    Every shingle of every document is counted, in the cell of its low bits; a task sends one row for each cell
-    it has met.  Any levels give right results, as all sets are ordered by them: they only keep what many documents share
-    out of the prefixes.
+    Every shingle of every document is counted, in the cell of its low bits; a task sends one row for each cell it
+    has met.  Rare shingles fill all cells alike, up to chance: a cell that stands four standard deviations above
+    the mean holds one that many documents share.  So what counts as frequent follows the root of the corpus, not
+    its size, and buckets of prefixes stay that small wherever a set has rarer elements.  Any levels give right
+    results, as all sets are ordered by them.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, rows = np.zeros(CELLS, np.int64), 0
+        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for i, j, h, _, _ in sets(batch.column(0), join):
+            for _, _, h, _, _ in sets(batch.column(0), join):
                 cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                rows += j - i
         met = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(cells[met], rows), pa.int64())], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(cells[met], pa.int64())], names=["cell", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = sums.where(F.col("cell") < 0).agg(F.sum("n")).first()[0] or 0
-    total = sums.where(F.col("cell") >= 0).agg(F.sum("n")).first()[0] or 0
-    limit = total / CELLS + max(8.0, join.frequent * rows)
-    found = sums.where((F.col("cell") >= 0) & (F.col("n") > limit)).toArrow()  # at most CELLS rows
+    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy().astype(np.float64)
+    mean = n.sum() / CELLS
+    excess = (n - mean) / (4 * math.sqrt(mean) + 8)
     level = np.zeros(CELLS, np.int8)
-    level[found.column("cell").to_numpy()] = 1 + np.log2(found.column("n").to_numpy() / limit).astype(np.int8)
+    high = excess > 1
+    level[cell[high]] = 1 + np.log2(excess[high]).astype(np.int8)
     return level
 
 
-SETS = "doc_id long, n int, digest long, sketch binary, prefix array<long>"
+SETS = "doc_id long, n int, digest long, digest2 long, sketch binary, prefix array<long>"
+#: What names a set: two digests of 64 bits, and its size.
+NAME = ["digest", "digest2", "n"]
 
 
 def describe(docs: DataFrame, join: Join, level: np.ndarray) -> DataFrame:
-    """A row of SETS for each document: size, digest, parity sketch and ordered prefix of its set."""
+    """A row of SETS for each document: size, digests, parity sketch and ordered prefix of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +125,20 @@ def describe(docs: DataFrame, join: Join, level: np.ndarray) -> DataFrame:
                 begin = np.concatenate([[0], np.cumsum(size)])
                 want = np.array([min(n, join.prefix(n, 2)) for n in size.tolist()], np.int64)
                 place = np.arange(len(h)) - np.repeat(begin[:-1], size)
-                digest = np.zeros(j - i, np.uint64)
                 full = size > 0
-                if full.any():
-                    digest[full] = mix(np.add.reduceat(mix(h + np.uint64(0x1234567)), begin[:-1][full]) + size[full].astype(np.uint64))
+                digests = []
+                for salt in (0x1234567, 0x5DEECE66D1F3A9B7):
+                    d = np.zeros(j - i, np.uint64)
+                    if full.any():
+                        d[full] = mix(np.add.reduceat(mix(h ^ np.uint64(salt)), begin[:-1][full]))
+                    digests.append(pa.array(d.view(np.int64)))
                 sketches = []
                 for k, n in enumerate(size.tolist()):
                     bits = join.sketch_bits(n)
                     odd = np.bincount((h[begin[k] : begin[k + 1]] >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(want)]), pa.int32()), pa.array(ordered[place < np.repeat(want, size)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), pa.array(digest.view(np.int64)), pa.array(sketches, pa.binary()), prefix], names=["doc_id", "n", "digest", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), *digests, pa.array(sketches, pa.binary()), prefix], names=["doc_id", "n", "digest", "digest2", "sketch", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
@@ -225,24 +229,32 @@ def near(pairs: DataFrame, distinct: DataFrame, join: Join) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that link, by the sets of their whole texts."""
-    body = lambda name: docs.select(F.col("doc_id").cast("long").alias(name), F.col("text").alias(f"t{name}"))
-    both = pairs.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b) that link, by the sets of their whole texts.
+
+    The partners of an a go to one of several salts, four for each shuffle partition, so that those of an a which
+    meets a third of all rows are a quarter of a partition each; its text goes once to each salt that has one.
+    """
+    salts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
+    body = lambda name: docs.select(F.col("doc_id").cast("long").alias(name), F.coalesce("text", F.lit("")).alias("text"))
+    firsts = salted.select("a", "salt").distinct().join(body("a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    others = salted.join(body("b"), "b").select("a", "salt", "b", "text")
+    both = firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, base = None, np.zeros(0, np.uint64)
+        base = np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            a = batch.column(0).to_pylist()
-            for i, _, h, own, size in sets(batch.column(3), join):
+            a, b, keep = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for i, _, h, _, size in sets(batch.column(3), join):
                 for k, mine in enumerate(np.split(h, np.cumsum(size)[:-1])):
-                    row = i + k
-                    if last is None or a[row] != last:  # rows come sorted by a
-                        last, base = a[row], np.concatenate([x[2] for x in sets(batch.column(2).slice(row, 1), join)])
+                    if b[i + k] is None:
+                        base = mine
+                        continue
                     at = np.minimum(np.searchsorted(base, mine), max(0, len(base) - 1))
                     common = int((base[at] == mine).sum()) if len(base) else 0
-                    keep.append(common > 0 and join.linked(common, len(base), len(mine)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    if common and join.linked(common, len(base), len(mine)):
+                        keep.append(i + k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -266,7 +278,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m", "u")
-        edges = materialise(small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
+        old, edges = edges, materialise(small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
+        discard(old)
         if (now := shuffle(edges)) == state:
             break
         state = now
@@ -295,67 +308,94 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "component", "sketch")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
 
-    def compare(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(group)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block, n = t.column("block").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
-        sketch = t.column("sketch").to_pylist()
-        stop = np.searchsorted(n, n * 100 // join.percent, "right")
-        cache: dict[int, np.ndarray] = {}
-        left, right = [], []
-        for r in range(len(n) - 1):
-            at = np.arange(r + 1, stop[r])
-            at = at[(comp[at] != comp[r]) & ((i == j) | (block[at] != block[r]))]
-            if not len(at):
-                continue
-            size = len(sketch[r])
-            rows = []
-            for k in at.tolist():
-                key = (size << 32) | k
-                if key not in cache:
-                    cache[key] = np.frombuffer(fold(sketch[k], size), np.uint64)
-                rows.append(cache[key])
-            bits = np.bitwise_count(np.stack(rows) ^ np.frombuffer(sketch[r], np.uint64)).sum(1, dtype=np.int64)
-            near_enough = bits <= join.difference(n[at], n[r])
-            at, bits = at[near_enough], bits[near_enough]
-            if nearest and len(at):
-                at = at[[bits.argmin()]]
-            left.append(np.full(len(at), ids[r]))
-            right.append(ids[at])
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
-        return np.minimum(a, b), np.maximum(a, b)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held = None
         for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
-            edges = np.flatnonzero((np.diff(marks, axis=1) != 0).any(0)) + 1
-            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in range(3)):
-                edges = np.concatenate([[0], edges])
-            done = []
-            at = 0
-            for e in edges.tolist():
-                if e > at:
-                    held.append(batch.slice(at, e - at))
-                done.append(compare(held))
-                held, at = [], e
-            if batch.num_rows > at:
-                held.append(batch.slice(at))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done])) for k in (0, 1)], names=["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(held)], names=["a", "b"])
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            marks = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            change = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0))
+            last = int(change[-1]) + 1 if len(change) else 0  # the last bucket may go on in the next batch
+            held = t.slice(last).combine_chunks()
+            if last:
+                yield from compare(t.slice(0, last).combine_chunks(), join, nearest)
+        if held is not None and held.num_rows:
+            yield from compare(held, join, nearest)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+class Sketches:
+    """The sketches of many rows as matrices of words, one for each size; folded to smaller sizes on demand."""
+
+    def __init__(self, column: pa.Array):
+        values = column.to_pylist()
+        self.size = np.array([len(x) for x in values], np.int64)
+        self.place = np.zeros(len(values), np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        for s in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == s)
+            self.place[at] = np.arange(len(at))
+            self.held[s, s] = np.frombuffer(b"".join(values[k] for k in at.tolist()), np.uint64).reshape(len(at), s // 8)
+
+    def folded(self, size: int, to: int) -> np.ndarray:
+        """The sketches of one size at fewer bits: halves added without carry."""
+        if (size, to) not in self.held:
+            wide = self.folded(size, 2 * to)
+            half = wide.shape[1] // 2
+            self.held[size, to] = wide[:, :half] ^ wide[:, half:]
+        return self.held[size, to]
+
+    def difference(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of rows a and b differ, at the size of the smaller one."""
+        out = np.zeros(len(a), np.int64)
+        x, y = self.size[a], self.size[b]
+        for one, two in set(zip(x.tolist(), y.tolist(), strict=True)):
+            to = min(one, two)
+            m, n = self.folded(one, to), self.folded(two, to)
+            at = np.flatnonzero((x == one) & (y == two))
+            step = max(1, COMPARE_BYTES // to)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = np.bitwise_count(m[self.place[a[some]]] ^ n[self.place[b[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def compare(t: pa.Table, join: Join, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows of whole buckets, sorted by (key, i, j, n): see across()."""
+    column = lambda name: t.column(name).to_numpy().astype(np.int64)
+    key, i, j, block, n, ids, comp = map(column, ("key", "i", "j", "block", "n", "id", "component"))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    place = np.cumsum(new) << 32
+    last = np.searchsorted(place + n, place + n * 100 // join.percent, "right")  # sets that are not too large to link
+    count = np.maximum(last - np.arange(len(n)) - 1, 0)
+    done = np.concatenate([[0], np.cumsum(count)])
+    sketches, at = Sketches(t.column("sketch")), 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 18), "right")) - 1)
+        left = np.repeat(np.arange(at, stop), count[at:stop])
+        right = left + 1 + np.arange(len(left)) - np.repeat(done[at:stop] - done[at], count[at:stop])
+        fit = (comp[left] != comp[right]) & ((i[left] == j[left]) | (block[left] != block[right]))
+        left, right = left[fit], right[fit]
+        bits = sketches.difference(left, right)
+        near_enough = bits <= join.difference(n[left], n[right])
+        left, right, bits = left[near_enough], right[near_enough], bits[near_enough]
+        if nearest and len(left):
+            order = np.lexsort((bits, left))
+            left, right = left[order], right[order]
+            first = np.concatenate([[True], left[1:] != left[:-1]])
+            left, right = left[first], right[first]
+        if len(left):
+            a, b = ids[left], ids[right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        at = stop
+
+
 def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one per row of docs.
 
     Documents whose shingle sets link, directly or over others, have one component, named by its smallest doc_id.
-    Equal sets are one set from the start (met before the shuffle, in each task).  Distinct sets meet under keys of
+    Equal sets, by 128 bits of digest and size, are one set from the start (met before the shuffle, in each task).
+    Distinct sets meet under keys of
     the heavy-light scheme; first every set of a bucket is verified against the bucket's first, then against the
     nearest of another component by sketch, then, by sketches and texts, against all sets of other components, so no
     link between components is missed.  A text without
@@ -366,10 +406,11 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
     bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     described = materialise(describe(bare, join, frequency_levels(bare, join)), "sets")
     full = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    distinct = materialise(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "prefix")).alias("s")).select("digest", "s.*"), "distinct")
+    distinct = materialise(full.groupBy(*NAME).agg(F.min(F.struct("doc_id", "sketch", "prefix")).alias("s")).select(*NAME, "s.*"), "distinct")
     keyed = entries(distinct, join, boundary(distinct, join))
-    lead = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(keyed.join(lead, "key").select("key", "id", "n", "size", F.col("lead.id").alias("first"), F.col("lead.n").alias("first_n")), "members")
+    lead = materialise(keyed.groupBy("key").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.count("*").alias("size")).where("size > 1"), "leads")
+    members = materialise(keyed.join(lead, "key").select("key", "id", "n", "size", "first", "first_n"), "members")
+    discard(lead)
     fits = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * join.percent
     stars = members.where(fits & (F.col("first") < F.col("id"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(verify(near(stars, distinct, join), bare, join), "links")
@@ -379,9 +420,10 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
         if more.take(1):
             links = links.union(more)
             labels = components(links)
-    named = distinct.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    every = described.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    return every.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    discard(members)
+    named = distinct.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*NAME, F.coalesce("component", "doc_id").alias("component"))
+    every = described.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in NAME[:2]))
+    return every.join(named, NAME, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
