@@ -141,7 +141,7 @@ def references(measured: DataFrame, common: dict[str, list[str]], rules: Rules,
     found = measured.where(F.col(lang).isNotNull() & (F.col("_m.n_words") >= rules.min_histogram_words)).select(F.col(lang).alias("lang"), "_m")
     sums = [F.sum(F.col("_m.chars")[i]).alias(f"c{i}") for i in range(len(CHARACTERS) + 1)]
     totals = found.groupBy("lang").agg(F.count("*").alias("n"), F.sum("_m.n_words").alias("total"), *sums).collect()
-    counts = found.select("lang", F.explode(F.col("_m.places")[0]).alias("p")).groupBy("lang", "p").agg(F.count("*").alias("n")).collect()  # candidates by languages
+    counts = found.select("lang", F.explode(F.get("_m.places", F.lit(0))).alias("p")).groupBy("lang", "p").agg(F.count("*").alias("n")).collect()  # candidates by languages
     seen: dict[str, dict[int, int]] = {}
     for r in counts:
         seen.setdefault(r.lang, {})[r.p] = r.n
