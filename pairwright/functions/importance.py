@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Name parts that tell an attribute's role.
 IDENTITY_HINTS = ("title", "name", "author", "authors", "product", "brand", "model", "isbn", "doi", "sku", "url", "email", "phone")
 CONTEXT_HINTS = ("year", "venue", "city", "state", "country", "type", "category", "class")
-GROUP_WEIGHTS = {"high": 3.0, "medium": 2.0, "low": 1.0}
 
 
 def total(vector: Column) -> Column:

@@ -18,14 +18,38 @@ ADDRESS_HINTS = ("addr", "address", "street", "location")
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+#: White space of any kind, as one text of characters.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+#: Patterns of generic text and what stands for them, in this order.
+_TEXT_STEPS = (
+    (r"\\+'", "'"),
+    (r"(?U)\s*&\s*", " and "),
+    (r"[^a-z0-9#&/.'+\-]+", " "),
+    (r"^[ ']+|[ ']+$", ""),
+)
+# The words that compression drops, before and after signs are dropped, and its patterns.
+STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "in", "on", "at", "to", "with", "by", "from", "is", "it", "this", "that", "as"]
+SHOP_WORDS = ["free", "shipping", "included", "certified", "refurbished", "brand", "item", "product", "please", "note", "click", "here", "more", "details", "information", "features", "description"]
+BOILERPLATE = (r"http\S+", r"www\.\S+", rf"\b(?:{'|'.join(STOP_WORDS)})\b", r"[^\w\s]", rf"\b(?:{'|'.join(SHOP_WORDS)})\b")
+#: A token that carries signal once signs are gone: alphanumerics, groups of them joined by single underscores.
+SIGNAL = r"(?i)^[a-z0-9]+(?:_[a-z0-9]+)*$"
+
+
 def is_missing(column: Column, kind: T.DataType | None = None) -> Column:
     """Null, or NaN in a floating column."""
     return column.isNull() | F.isnan(column) if isinstance(kind, (T.DoubleType, T.FloatType)) else column.isNull()
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """Every missing value of a floating column as null."""
+    kinds = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns({c: F.when(~is_missing(F.col(f"`{c}`"), k), F.col(f"`{c}`")) for c, k in kinds.items()}) if kinds else df
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean(column: Column) -> Column:
@@ -47,14 +71,6 @@ def record_key(column: Column) -> Column:
     return strip(column.cast("string"))
 
 
-_TEXT_STEPS = (
-    (r"\\+'", "'"),
-    (r"(?U)\s*&\s*", " and "),
-    (r"[^a-z0-9#&/.'+\-]+", " "),
-    (r"^[ ']+|[ ']+$", ""),
-)
-
-
 def text(column: Column) -> Column:
     """Generic text: lower case, quotes evened out, `&` as a word, other signs as spaces, no quotes at the ends."""
     start = F.translate(basic(column), '`"', "' ")
@@ -98,42 +114,42 @@ def cell(column: Column, name: str, whole_words: bool = True) -> Column:
 
 def records(df: DataFrame, skip: tuple[str, ...] = (), whole_words: bool = True) -> DataFrame:
     """Every column normalised by its role, but for `skip`: one projection."""
-    return df.select(*(F.col(f"`{c}`") if c in skip else cell(F.col(f"`{c}`"), c, whole_words).alias(c) for c in df.columns))
+    return without_nan(df).select(*(F.col(f"`{c}`") if c in skip else cell(F.col(f"`{c}`"), c, whole_words).alias(c) for c in df.columns))
 
 
 def basic_records(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") if c in skip else basic(F.col(f"`{c}`")).alias(c) for c in df.columns))
-
-
-# The words that compression drops, before and after signs are dropped.
-STOP_WORDS = "the a an and or of for in on at to with by from is it this that as".split()
-SHOP_WORDS = "free shipping included certified refurbished brand item product please note click here more details information features description".split()
-BOILERPLATE = (r"http\S+", r"www\.\S+", rf"\b(?:{'|'.join(STOP_WORDS)})\b", r"[^\w\s]", rf"\b(?:{'|'.join(SHOP_WORDS)})\b")
-#: A token that carries signal once signs are gone: alphanumerics, groups of them joined by single underscores.
-SIGNAL = r"(?i)^[a-z0-9]+(?:_[a-z0-9]+)*$"
+    return without_nan(df).select(*(F.col(f"`{c}`") if c in skip else basic(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def without_boilerplate(column: Column) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, f"(?iU){p}", " "), BOILERPLATE, bare(column))
 
 
-def compress(df: DataFrame, key: str, column: str, min_tokens: int = 10) -> DataFrame:
-    """df with `column` compressed; key names a unique column.
+def compressed(column: Column, min_tokens: int = 10) -> Column:
+    """A text of at most min_tokens tokens lower-cased and stripped; of a longer one the tokens with signal, without
+    boilerplate, once each (first spelling, any case counts as the same), or the cleaned text if none has any.
 
-    Texts of at most min_tokens tokens are lower-cased and stripped.  Of longer ones boilerplate goes, then tokens
-    with signal stay once each (first spelling, any case counts as the same), or the cleaned text if none has any.
-    Tokens are exploded and grouped, so the cost is linear in the length of a text, and no row's array is rescanned.
+    Tokens are sorted by (lower case, place), the first of each kept, and those sorted by place: n log n a text,
+    within its row.
     """
-    short = F.size(F.filter(F.split(bare(F.col(column)), r"(?U)\s+"), lambda t: t != "")) <= min_tokens
-    marked = df.select(key, F.col(column).alias("_t"), short.alias("_short"), strip(without_boilerplate(F.col(column))).alias("_clean"))
-    tokens = marked.where(~F.col("_short")).select(key, F.posexplode(F.split("_clean", r"(?U)\s+")).alias("_at", "_token")).where(F.col("_token").rlike(SIGNAL))
-    first = tokens.groupBy(key, F.lower("_token").alias("_low")).agg(F.min(F.struct("_at", "_token")).alias("_f"))
-    kept = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_f")), lambda x: x["_token"]), " ").alias("_kept"))
-    done = marked.join(kept, key, "left").select(key, F.when(F.col("_short"), basic(F.col("_t"))).otherwise(F.coalesce("_kept", "_clean")).alias(column))
-    return df.drop(column).join(done, key).select(*df.columns)
+    value = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
+
+    def kept(clean: Column) -> Column:
+        tokens = F.filter(F.split(clean, r"(?U)\s+"), lambda t: t.rlike(SIGNAL))
+        placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("token"))))
+        first = value(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["low"] != F.get(p, i - 1)["low"])))
+        words = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+        return value(F.array_join(F.transform(words, lambda x: x["token"]), " "), lambda w: F.when(w == "", clean).otherwise(w))
+
+    short = F.size(F.filter(F.split(bare(column), r"(?U)\s+"), lambda t: t != "")) <= min_tokens
+    return F.when(short, basic(column)).otherwise(value(strip(without_boilerplate(column)), kept))
+
+
+def compress(df: DataFrame, columns: list[str], min_tokens: int = 10) -> DataFrame:
+    """df with `columns` compressed: a projection, whatever the keys."""
+    plain = without_nan(df)
+    return plain.select(*(compressed(F.col(f"`{c}`"), min_tokens).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
 
 
 def compress_records(df: DataFrame, key: str, columns: list[str] | None = None, min_tokens: int = 10) -> DataFrame:
-    for column in columns or [c for c in df.columns if c != key]:
-        df = compress(df, key, column, min_tokens)
-    return df
+    return compress(df, columns or [c for c in df.columns if c != key], min_tokens)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import record_key
+from ..functions.normalize import record_key, without_nan
+from ..sources.shared import materialise
 
 
 def shared_attributes(a: DataFrame, b: DataFrame, skip: tuple[str, ...] = ("id",)) -> list[str]:
@@ -37,12 +38,21 @@ def labelled(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def with_records(pairs: DataFrame, a: DataFrame, b: DataFrame, id_a: str = "id", id_b: str = "id") -> DataFrame:
-    """pairs with both records as structs `a` and `b`."""
+    """pairs with both records as structs `a` and `b`; NaN is a missing value."""
+    a, b = without_nan(a), without_nan(b)
     left = a.select(F.col(id_a).alias("idA"), F.struct(*(c for c in a.columns if c != id_a)).alias("a"))
     right = b.select(F.col(id_b).alias("idB"), F.struct(*(c for c in b.columns if c != id_b)).alias("b"))
     return pairs.join(left, "idA").join(right, "idB")
 
 
+def with_selected(pairs: DataFrame, lists: dict[int, list[str]] | list[list[str]] | DataFrame, ordinal: str = "candidate_index") -> DataFrame:
+    """pairs with selected_attributes by their ordinal: from a dict, a list in the order of ordinals, or a table (ordinal, selected_attributes); null where there is none."""
+    if not isinstance(lists, DataFrame):
+        rows = list(lists.items() if isinstance(lists, dict) else enumerate(lists))
+        lists = pairs.sparkSession.createDataFrame(rows, f"{ordinal} long, selected_attributes array<string>")
+    return pairs.drop("selected_attributes").join(lists.select(F.col(ordinal).cast("long").alias(ordinal), "selected_attributes"), ordinal, "left")
+
+
 def mixed_order(seed: int) -> list[Column]:
     """A fixed shuffle of pairs that another SQL engine can repeat."""
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idA").cast("string"), F.col("idB").cast("string"))), F.col("idA"), F.col("idB")]
@@ -71,36 +81,70 @@ def quotas(size: int, medium: float = 0.6, low: float = 0.2, high: float = 0.2)
     return out
 
 
+def order_statistics(scores: DataFrame, ranks: list[int], column: str = "s") -> list[float]:
+    """The values at some ranks (from 0) of a column of finite doubles, exactly.
+
+    Each pass counts a bin of a thousand between the bounds that each rank is known to lie in, and keeps the bin
+    that holds it; a rank is found when its bin has one value.  A pass sends a thousand rows a rank to the driver.
+    """
+    bins = 1024
+    ends = scores.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    at = {k: (ends.lo, ends.hi, 0) for k in range(len(ranks))}
+    found: dict[int, float] = {k: lo for k, (lo, hi, _) in at.items() if lo == hi}
+    while left := [k for k in at if k not in found]:
+        s = F.col(column)
+        cell = lambda lo, hi: F.least(F.lit(bins - 1), F.floor((s - F.lit(lo)) / F.lit(hi - lo) * bins)).cast("int")
+        inside = F.array(*(F.when((s >= at[k][0]) & (s <= at[k][1]), F.struct(F.lit(k).alias("k"), cell(*at[k][:2]).alias("bin"))) for k in left))
+        rows = scores.select(column, F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).groupBy("x.k", "x.bin").agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        for k in left:
+            below = at[k][2]
+            for r in sorted((r for r in rows if r.k == k), key=lambda r: r.lo):
+                if below + r.n > ranks[k]:
+                    at[k] = (r.lo, r.hi, below)
+                    break
+                below += r.n
+            if at[k][0] == at[k][1]:
+                found[k] = at[k][0]
+    return [found[k] for k in range(len(ranks))]
+
+
+def quantiles(scores: DataFrame, shares: list[float], column: str = "s") -> list[float]:
+    """Exact quantiles, between neighbouring values in proportion; zeros for an empty table."""
+    n = scores.count()
+    if not n:
+        return [0.0] * len(shares)
+    spots = [q * (n - 1) for q in shares]
+    values = order_statistics(scores, [x for p in spots for x in (int(p), min(int(p) + 1, n - 1))], column)
+    return [lo + (p - int(p)) * (hi - lo) for p, lo, hi in zip(spots, values[::2], values[1::2], strict=True)]
+
+
 def strata(pairs: DataFrame, score: str = "sim") -> DataFrame:
     """pairs with `stratum` (and flags in_low, in_high) by the thirds of the scores, clipped to 0 to 1.
 
     low is at most the first tercile, high at least the second, medium between; equal terciles make a pair both low
-    and high, and it counts as low then.
+    and high, and it counts as low then.  The scored pairs are written once and read by every pass.
     """
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(score).cast("double"), F.lit(0.0))))
-    cuts = pairs.agg(F.percentile(s, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # one row
-    both = pairs.crossJoin(F.broadcast(cuts)).withColumn("in_low", s <= F.col("q")[0]).withColumn("in_high", s >= F.col("q")[1]).drop("q")
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None)), F.lit(0.0))))
+    kept = materialise(pairs.withColumn("_s", s), "scored")
+    first, second = quantiles(kept, [1 / 3, 2 / 3], "_s")
+    both = kept.withColumn("in_low", F.col("_s") <= first).withColumn("in_high", F.col("_s") >= second).drop("_s")
     return both.withColumn("stratum", F.when(F.col("in_low"), "low").when(F.col("in_high"), "high").otherwise("medium"))
 
 
 def stratified(pairs: DataFrame, size: int, medium: float = 0.6, low: float = 0.2, high: float = 0.2, seed: int = 42, score: str = "sim") -> DataFrame:
     """min(size, all) pairs: quotas from medium, low and high, then what is missing in that order; mixed order decides within one.
 
-    Only the first `size` of each stratum can be chosen, so each keeps that many before they meet.
+    Only the first `size` of each stratum can be chosen, so one ranking by stratum, cut at that many, gives them all.
     """
-    target = min(size, pairs.count()) if size > 0 else 0
+    if size <= 0:
+        return pairs.limit(0).withColumn("stratum", F.lit(""))
     marked = strata(pairs, score)
-    if not target:
-        return marked.limit(0).drop("in_low", "in_high")
-    heads = None
-    for name in ("medium", "low", "high"):
-        head = marked.where(F.col("stratum") == name).orderBy(*mixed_order(seed)).limit(target)
-        heads = head if heads is None else heads.unionByName(head)
+    target = min(size, marked.count())
     order = F.row_number().over(Window.partitionBy("stratum").orderBy(*mixed_order(seed)))
     quota = quotas(target, medium, low, high)
     pick = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
     turn = F.create_map(*[F.lit(x) for kv in (("medium", 0), ("low", 1), ("high", 2)) for x in kv])
-    ranked = heads.withColumn("_extra", (order > pick[F.col("stratum")]).cast("int")).withColumn("_n", order)
+    ranked = marked.withColumn("_n", order).where(F.col("_n") <= max(1, target)).withColumn("_extra", (F.col("_n") > pick[F.col("stratum")]).cast("int"))
     return ranked.orderBy("_extra", turn[F.col("stratum")], "_n").limit(target).drop("_extra", "_n", "in_low", "in_high")
 
 

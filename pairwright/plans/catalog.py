@@ -83,9 +83,32 @@ def basic_preprocess_parts(spark, d):
     return normalize.basic_records(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), skip=("p_partkey",))
 
 
-@query()
+_SIGN = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+
+
+def _without_words_sql(text: str, words: list[str]) -> str:
+    """Whole words as a blank; twice, for a match takes the sign between two neighbouring words with it."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|{_SIGN})(?i:{'|'.join(words)})($|{_SIGN})', '\\1 \\2', 'g')"
+    return text
+
+
+def compress_sql(rows: str, key: str, text: str) -> str:
+    """CTEs up to `compressed`: (key, norm) of the rows of a table expression."""
+    clean = f"regexp_replace(regexp_replace(coalesce({text}, ''), '(?i)http\\S+', ' ', 'g'), '(?i)www\\.\\S+', ' ', 'g')"
+    clean = _without_words_sql(clean, normalize.STOP_WORDS)
+    clean = _without_words_sql(f"regexp_replace({clean}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s]', ' ', 'g')", normalize.SHOP_WORDS)
+    return f"""src as (select {key} as k, {text} as t, {clean} as clean from {rows}),
+split as (select k, t, clean, regexp_split_to_array(trim(clean, E' \\t\\n\\r\\x0b\\x0c'), '\\s+') as words, len(list_filter(regexp_split_to_array(coalesce(t, ''), '\\s+'), lambda w: w <> '')) as n from src),
+placed as (select k, unnest(words) as w, generate_subscripts(words, 1) as i from split where n > 10),
+firsts as (select k, min(i) as i, arg_min(w, i) as w from placed where regexp_full_match(w, '(?i)[a-z0-9]+(_[a-z0-9]+)*') group by k, lower(w)),
+joined as (select k, string_agg(w, ' ' order by i) as kept from firsts group by k),
+compressed as (select split.k, case when n <= 10 then lower(trim(coalesce(t, ''), E' \\t\\n\\r\\x0b\\x0c')) else coalesce(kept, trim(clean, E' \\t\\n\\r\\x0b\\x0c')) end as norm from split left join joined using (k))"""
+
+
+@query("with " + compress_sql("documents", "doc_id", "text") + " select k as doc_id, norm as text from compressed")
 def compress_text_documents(spark, d):
-    return normalize.compress(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return normalize.compress(table(spark, d, "documents").select("doc_id", "text"), ["text"])
 
 
 @query("select trim(cast(p_size as varchar)) as id, max(p_partkey) as pos from part group by 1")
@@ -131,7 +154,10 @@ def manual_selection(spark, d):
     return a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B")))
 
 
-@query()
+_SIDES_SQL = "select c_custkey as id, c_name as name, cast(c_nationkey as varchar) as nationkey, cast(c_acctbal as varchar) as acctbal, 'A' as side from customer union all select s_suppkey, s_name, cast(s_nationkey as varchar), cast(s_acctbal as varchar), 'B' from supplier"
+
+
+@query(f"with both_sides as ({_SIDES_SQL}) select id, lower(trim(name)) as name, lower(nationkey) as nationkey, lower(acctbal) as acctbal, side from both_sides")
 def heuristic_selection(spark, d):
     a, b = selection.heuristic(*customers_and_suppliers(spark, d))
     return a.withColumn("side", F.lit("A")).unionByName(b.withColumn("side", F.lit("B")))
@@ -182,6 +208,14 @@ def numeric_similarities(spark, d):
     return part_pairs(spark, d).select("idA", "idB", r6(similarity.numeric_similarity(F.col("a.price"), F.col("b.price"))).alias("price"), r6(similarity.numeric_similarity(F.col("a.size"), F.col("b.size"), 20)).alias("size"))
 
 
+@query("with e as (select vec_id as id, cast(embedding as double[]) as v, case when vec_id % 5 = 0 then '' when vec_id % 7 = 0 then null else 'text' end as t from embeddings) select a.id as idA, round(case when coalesce(a.t, '') = '' and coalesce(b.t, '') = '' then 1.0 when coalesce(a.t, '') = '' or coalesce(b.t, '') = '' then 0.0 else greatest(0, least(1, (list_dot_product(a.v, b.v) + 1) / 2)) end, 6) as semantic from e a join e b on b.id = a.id + 1")
+def semantic_similarities(spark, d):
+    """Neighbouring embeddings, of which every fifth and seventh record has no text."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.when(F.col("vec_id") % 5 == 0, "").when(F.col("vec_id") % 7 == 0, None).otherwise("text").alias("t"))
+    both = e.join(e.select((F.col("id") - 1).alias("id"), F.col("v").alias("w"), F.col("t").alias("u")), "id")
+    return both.select(F.col("id").alias("idA"), r6(similarity.semantic_similarity(F.col("t"), F.col("u"), similarity.dot(F.col("v"), F.col("w")))).alias("semantic"))
+
+
 @query()
 def edit_similarities(spark, d):
     return part_pairs(spark, d).select("idA", "idB", r6(similarity.edit_similarity(F.col("a.name"), F.col("b.name"))).alias("adaptive"), r6(similarity.supervised_edit(F.col("a.type"), F.col("b.type"))).alias("supervised"))
@@ -192,13 +226,15 @@ def supervised_features(spark, d):
     return part_pairs(spark, d).select("idA", "idB", *similarity.field_similarities("a", "b", ["name", "brand"]))
 
 
-_F = _P + ", f as (select idA, idB, " + f"{_jac('na', 'nb', _WORD)} as f1, case when lower(na) = lower(nb) then 1.0 else 0.0 end as f2, {_jac('ba', 'bb', _WORD)} as f3, round(1 - least(abs(za::double - zb::double) / greatest(abs(za::double), abs(zb::double), 1), 1), 6) as f4, round(1 - least(abs(pa - pb) / greatest(abs(pa), abs(pb), 1), 1), 6) as f5 from p)"
+_F = _P + ", f as (select idA, idB, case when idA % 3 = 0 and idB % 3 = 0 then 0.0 when idA % 3 = 0 or idB % 3 = 0 then 0.0 else 1.0 end as numeric, " + f"{_jac('na', 'nb', _WORD)} as f1, case when lower(na) = lower(nb) then 1.0 else 0.0 end as f2, {_jac('ba', 'bb', _WORD)} as f3, round(1 - least(abs(za::double - zb::double) / greatest(abs(za::double), abs(zb::double), 1), 1), 6) as f4, round(1 - least(abs(pa - pb) / greatest(abs(pa), abs(pb), 1), 1), 6) as f5 from p)"
 
 
-@query(_F + " select idA, idB, f1, f2::double as f2, f3, f4, f5, 1.0::double as numeric, 0.0::double as semantic from f")
+@query(_F + " select idA, idB, f1, f2::double as f2, f3, f4, f5, numeric::double as numeric from f")
 def pair_features_native(spark, d):
-    f = similarity.pair_features(part_pairs(spark, d), ATTRIBUTES)
-    return f.select("idA", "idB", r6("features.name.token_overlap").alias("f1"), F.col("features.name.exact_match").alias("f2"), r6("features.brand.token_overlap").alias("f3"), r6("features.size.numeric_similarity").alias("f4"), r6("features.price.numeric_similarity").alias("f5"), F.col("features.price.is_numeric").alias("numeric"), F.col("features.name.semantic_similarity").alias("semantic"))
+    """mixed is a size, or a brand where 3 divides the key."""
+    p = part_records(spark, d).withColumn("mixed", F.when(F.col("id") % 3 == 0, F.col("brand")).otherwise(F.col("size")))
+    f = similarity.pair_features(pairs.with_records(p.select(F.col("id").alias("idA"), (F.col("id") + 1).alias("idB")), p, p), [*ATTRIBUTES, "mixed"])
+    return f.select("idA", "idB", r6("features.name.token_overlap").alias("f1"), F.col("features.name.exact_match").alias("f2"), r6("features.brand.token_overlap").alias("f3"), r6("features.size.numeric_similarity").alias("f4"), r6("features.price.numeric_similarity").alias("f5"), F.col("features.mixed.is_numeric").alias("numeric"))
 
 
 @query()
@@ -261,7 +297,7 @@ def lsh_candidates(spark, d):
 def lsh_candidates_dense(spark, d):
     planes = blocking.random_planes(5, 8, DIMENSIONS)
     a, b = (blocking.signatures(v, planes) for v in vectors(spark, d))
-    return blocking.candidates(a, b, 8, 1, dense=blocking.bounded(vectors(spark, d)[1]))
+    return blocking.candidates(a, b, 8, 1, dense=blocking.fits(vectors(spark, d)[1], 5, DIMENSIONS))
 
 
 @query(_LSH + " select idA, idB, round(s, 6) as sim, rank::int as rank from top")
@@ -306,24 +342,28 @@ def blocking_metrics(spark, d):
     return m.select("candidate_pairs", "total_pairs", "found_matches", "gt_matches", r6("pair_completeness").alias("pair_completeness"), r6("reduction_percentage").alias("reduction_percentage"))
 
 
-_SWEEP = " union all ".join(f"select {t} as num_tables, {p} as num_planes, * from ({lsh_sql(t, p)} {_METRICS})" for t in (2, 4) for p in (6, 8))
+GRID = ([5, 10, 15, 20], [4, 6, 8, 10])
+
+
+def sweep_sql(tables_: list[int], planes_: list[int]) -> str:
+    return " union all ".join(f"select {t} as num_tables, {p} as num_planes, * from ({lsh_sql(t, p)} {_METRICS})" for t in tables_ for p in planes_)
 
 
-def _sweep(spark, d):
+def _sweep(spark, d, grid=GRID):
     a, b = vectors(spark, d)
-    found = linkage.sweep("embeddings", a.drop("label"), b.drop("label"), gold(spark, d), [2, 4], [6, 8])
+    found = linkage.sweep("embeddings", a.drop("label"), b.drop("label"), gold(spark, d), *grid)
     return found.withColumn("pair_completeness", r6("pair_completeness")).withColumn("reduction_percentage", r6("reduction_percentage"))
 
 
-@query(_SWEEP)
+@query(sweep_sql(*GRID))
 def blocking_sweep(spark, d):
     return _sweep(spark, d).drop("dataset", "num_flips", "top_k", "elapsed_seconds")
 
 
-@query(f"select num_tables, num_planes, pair_completeness from ({_SWEEP}) order by pair_completeness desc, candidate_pairs, num_tables, num_planes limit 1")
+@query(f"select num_tables, num_planes, pair_completeness from ({sweep_sql([2, 4], [6, 8])}) order by pair_completeness desc, candidate_pairs, num_tables, num_planes limit 1")
 def best_blocking(spark, d):
     """Time, which differs from run to run, is taken as the order of the grid."""
-    grid = _sweep(spark, d).withColumn("elapsed_seconds", (F.col("num_tables") * 100 + F.col("num_planes")).cast("double"))
+    grid = _sweep(spark, d, ([2, 4], [6, 8])).withColumn("elapsed_seconds", (F.col("num_tables") * 100 + F.col("num_planes")).cast("double"))
     return linkage.best_by_dataset(grid).select("num_tables", "num_planes", "pair_completeness")
 
 
@@ -372,7 +412,19 @@ def stratified_sample(spark, d):
     return pairs.stratified(blocked(spark, d), 30).select("idA", "idB", "stratum")
 
 
-@query()
+_PROFILED = """, m as (select idA, idB, greatest(0, least(1, s)) as s, exists(select 1 from gold g where g.idA = t.idA and g.idB = t.idB)::int as label from top t),
+c as (select count(*) filter (label = 1) as c1, count(*) filter (label = 0) as c0, least(40, count(*)) as want from m),
+w as (select want, c1, least(want - least(want // 2, c1), c0) as neg from c),
+target as (select 1 as label, least(want - neg, c1) as t from w union all select 0, neg from w),
+quota as (select label, t, round_even(t * 0.2, 0) as side, t - 2 * round_even(t * 0.2, 0) as medium from target),
+q as (select label, quantile_cont(s, 1/3.0) as lo, quantile_cont(s, 2/3.0) as hi from m group by label),
+st as (select m.*, case when s <= lo then 'low' when s >= hi then 'high' else 'medium' end as stratum from m join q using (label)),
+o as (select *, row_number() over (partition by label, stratum order by md5('42|' || idA || '|' || idB), idA, idB) as n from st),
+r as (select o.*, t, row_number() over (partition by o.label order by (n > case stratum when 'medium' then medium else side end)::int, case stratum when 'medium' then 0 when 'low' then 1 else 2 end, n) as k from o join quota using (label))
+select idA, idB, label, stratum from r where k <= t"""
+
+
+@query(_LSH + _PROFILED)
 def balanced_profile_sample(spark, d):
     return pairs.balanced_profile(blocked(spark, d), gold(spark, d), 40).select("idA", "idB", "label", "stratum")
 
@@ -508,7 +560,11 @@ def hybrid_importance(spark, d):
     return selector().importances(three_features(spark, d)).select("p_partkey", listed(F.col("combined_importance"), 4).alias("combined"))
 
 
-@query()
+def _confidence_sql(v: str) -> str:
+    return f"greatest(0, least(1, 1 + list_sum(list_transform({v}, lambda x: case when x > 0 then x * ln(x) else 0 end)) / ln(3)))"
+
+
+@query(_selector_sql() + f", conf as (select p_partkey, p, q, {_confidence_sql('p')} as cp, {_confidence_sql('q')} as cq from mix), share as (select *, case when cp + cq = 0 then 0.5 else cp / (cp + cq) end as wp from conf) select p_partkey, {sql_listed('[p[1] * wp + q[1] * (1 - wp), p[2] * wp + q[2] * (1 - wp), p[3] * wp + q[3] * (1 - wp)]', 4)} as combined from share")
 def hybrid_importance_by_confidence(spark, d):
     return selector(fusion="confidence_based").importances(three_features(spark, d)).select("p_partkey", listed(F.col("combined_importance"), 4).alias("combined"))
 
@@ -518,8 +574,9 @@ def hybrid_selection(spark, d):
     return selector(mass=0.7).select(three_features(spark, d)).select("p_partkey", F.array_join("selected_attributes", ",").alias("selected"))
 
 
-@query()
+@query(_selector_sql() + " select p_partkey, case when round(c[1], 12) >= round(c[3], 12) then 'name' else 'phone' end as selected from mix")
 def hybrid_selection_with_roles(spark, d):
+    """One attribute, which must tell identity: an address gives way to the better of name and phone."""
     return selector(top_k=1, max_k=1, required_roles=("identity",)).select(three_features(spark, d)).select("p_partkey", F.array_join("selected_attributes", ",").alias("selected"))
 
 
@@ -576,9 +633,12 @@ def token_usage(spark, d):
     return metrics.token_usage(neighbour_results(spark, d)).select("pairs", "completion_tokens", "cache_hits")
 
 
-@query("select 2 as min_selected, 2.0::double as mean_selected, 2 as max_selected")
+_PICKED = _selector_sql() + ", e as (select p_partkey, unnest(c) as v, unnest([0, 1, 2]) as i from mix), o as (select *, row_number() over (partition by p_partkey order by round(v, 12) desc, i) as n, sum(v) over (partition by p_partkey order by round(v, 12) desc, i) - v as held from e), sizes as (select count(*) as n from o where n = 1 or held < 0.7 group by p_partkey)"
+
+
+@query(_PICKED + " select min(n)::int as min_selected, round(avg(n), 6) as mean_selected, max(n)::int as max_selected from sizes")
 def selection_sizes(spark, d):
-    return metrics.selection_sizes(neighbour_pairs(spark, d))
+    return metrics.selection_sizes(selector(mass=0.7).select(three_features(spark, d))).withColumn("mean_selected", r6("mean_selected"))
 
 
 @query(_MATCH + " select idA, idB from m where answer = 'No' and idA % 3 = 0 order by cast(idA as bigint) limit 10")
@@ -621,10 +681,19 @@ def supervised_ranking(spark, d):
     return spark.createDataFrame([(n, i + 1) for i, (n, _) in enumerate(ranked)], "attribute string, rank int")
 
 
-@query()
+def _scored_sql() -> str:
+    overlap = lambda x, y: f"(len(list_intersect({_TOK.format(x)}, {_TOK.format(y)})) / len(list_distinct(list_concat({_TOK.format(x)}, {_TOK.format(y)}))))"
+    columns = {"name": ("na", "nb"), "brand": ("ba", "bb"), "type": ("ta", "tb"), "size": ("za", "zb"), "price": ("cast(pa as varchar)", "cast(pb as varchar)")}
+    each = " union all ".join(f"select '{c}' as attribute, {k} as i, avg(case when label = 1 then {overlap(x, y)} else 1 - {overlap(x, y)} end) as m from picked" for k, (c, (x, y)) in enumerate(columns.items()))
+    return _P + f", m as (select *, (idA % 3 = 0)::int as label from p), picked as (select * from (select * from m where label = 1 order by {_MIX} limit 10) union all select * from (select * from m where label = 0 order by {_MIX} limit 10)), scored as ({each}) select attribute, round(m, 6) as importance, row_number() over (order by round(m, 9) desc, i)::int as rank from scored"
+
+
+@query(_scored_sql())
 def model_guided_ranking(spark, d):
-    a, b, g, c = part_blocks(spark, d)
-    _, _, ranked = selection.model_guided(a, b, pairs.labelled(c, g), OfflineProfiler())
+    """Ten matches and ten other pairs of all neighbouring parts, scored by the offline profiler."""
+    p = part_records(spark, d)
+    labelled = pairs.labelled(neighbour_pairs(spark, d).select("idA", "idB").join(p.select(F.col("id").alias("idB")), "idB", "left_semi").select("idA", "idB"), neighbour_gold(spark, d))
+    _, _, ranked = selection.model_guided(p, p, labelled, OfflineProfiler())
     return spark.createDataFrame([(n, round(w, 6), i + 1) for i, (n, w) in enumerate(ranked)], "attribute string, importance double, rank int")
 
 
