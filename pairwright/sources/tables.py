@@ -23,16 +23,17 @@ def sniff(head: str) -> str:
         return ","
 
 
-def read_records(spark: SparkSession, path: str, encoding: str = "utf-8", separator: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, encoding: str = "utf-8", separator: str | None = None, multi_line: bool = True) -> DataFrame:
     """A delimited file with a header, every column as the text in the file; tokens that mean missing become null.
 
     Without a separator one is sniffed from the first lines, which Spark reads, so any file system will do.
-    A file that isn't there raises.
+    A file that isn't there raises.  multi_line lets a quoted field hold line breaks, but makes a file one task: turn
+    it off for large files without them, which then split.
     """
     encoding = codecs.lookup(encoding).name.replace("iso8859", "iso-8859")
     if separator is None:
         separator = sniff("\n".join(r.value for r in spark.read.option("encoding", encoding).text(path).limit(20).collect()))
-    read = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
+    read = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
     return read.select(*(F.when(F.col(f"`{c}`").isin(*normalize.NA_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in read.columns))
 
 
@@ -101,20 +102,20 @@ def load(spark: SparkSession, dataset: Dataset) -> tuple[DataFrame, DataFrame, D
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    pairs.write.mode("overwrite").option("header", True).csv(path)
+    pairs.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(PAIRS).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(PAIRS).csv(path)
 
 
 def write_sweep(results: DataFrame, path: str) -> None:
     """Sweep results, best first within a dataset."""
-    results.orderBy("dataset", F.desc("pair_completeness"), "candidate_pairs", "elapsed_seconds").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    results.orderBy("dataset", F.desc("pair_completeness"), "candidate_pairs", "elapsed_seconds").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_run(results: DataFrame, summary: DataFrame, base: str, name: str) -> None:
     """A run's results as delimited text and its summary as JSON, in the dataset's own folder."""
     flat = [F.to_json(c).alias(c) if isinstance(results.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c) for c in results.columns]
-    results.select(*flat).write.mode("overwrite").option("header", True).csv(f"{base}/{name}/final_results")
+    results.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{base}/{name}/final_results")
     summary.coalesce(1).write.mode("overwrite").json(f"{base}/{name}/run_summary")
