@@ -40,7 +40,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that materialise() made, once nothing that is still to run reads them."""
+    """Removes tables that materialise() made, once nothing that is still to run reads them; with them the shuffle files
+    of what has run, which Spark drops when the driver collects its garbage."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        df.sparkSession._jvm.System.gc()
