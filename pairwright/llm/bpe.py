@@ -32,6 +32,9 @@ class ByteBPE:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model, alphabet = spec["model"], byte_alphabet()
+        pre = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or model.get("ignore_merges"):
+            raise ValueError(f"{path} isn't a byte-level tokenizer that splits by the usual pattern and normalises nothing")
         vocab = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.added.values()])
@@ -163,18 +166,15 @@ def tokenizer(path: str) -> ByteBPE:
     return _loaded[path]
 
 
-SCHEMA = "doc_id long, ids string, n_tokens long, decoded string"
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, ids, n_tokens, decoded), one per row of docs; ids are decimals joined by commas.
+    """Rows (doc_id, n_tokens, ids, decoded), one per row of docs; ids are decimals joined by commas.
 
     With digests, ids and decoded are replaced by ids_sha256 and decoded_sha256.  A null text is an empty one: no
     ids, and the empty text decoded.  A null doc_id stays null; repeated rows give repeated rows; an empty table
     gives none.  Names of added tokens inside a text become those tokens, as the library does by default.  `keep`
     names columns of docs to carry along.  Texts are taken whole; a batch is encoded in chunks of CHUNK_BYTES.
     """
-    out = [("ids_sha256", "string"), ("n_tokens", "long"), ("decoded_sha256", "string")] if digests else [("ids", "string"), ("n_tokens", "long"), ("decoded", "string")]
+    out = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("n_tokens", "long"), ("ids", "string"), ("decoded", "string")]
     keep = [doc_id] if keep is None else keep
     carried = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], docs[f"`{text}`"].alias("_text"))
     schema = ", ".join([f"c{i} {carried.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep))] + [f"`_{n}` {t}" for n, t in out])
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False, do
                     ids.append(hashlib.sha256(x.encode()).hexdigest() if digests else x)
                     counts.append(n)
                     back.append(hashlib.sha256(y.encode()).hexdigest() if digests else y)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.string()), pa.array(counts, pa.int64()), pa.array(back, pa.string())], names=[*(f"c{k}" for k in range(len(keep))), *(f"_{n}" for n, _ in out)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[*(f"c{k}" for k in range(len(keep))), *(f"_{n}" for n, _ in out)])
 
     return carried.mapInArrow(run, schema).toDF(*keep, *(n for n, _ in out))
 
