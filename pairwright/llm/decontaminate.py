@@ -20,7 +20,8 @@ _RUN = regex.compile(r"[^\p{L}\p{N}]+")
 
 @dataclass(frozen=True)
 class Budget:
-    """Errors allowed: a share of an item's normalised length.  Items shorter than min_chars are not looked for.
+    """Errors allowed: a share of an item's normalised length.  Items shorter than min_chars allow none, and count
+    only between blanks or the ends of a text, for parts of words would hold them by chance.
     block_chars: how much benchmark text goes to the executors at once; more is done in several passes over the documents."""
 
     error_share: float = 0.06
@@ -28,7 +29,7 @@ class Budget:
     block_chars: int = 4_000_000
 
     def of(self, length: int) -> int:
-        return int(length * self.error_share)
+        return int(length * self.error_share) if length >= self.min_chars else 0
 
 
 def normalise(text: str) -> str:
@@ -82,10 +83,10 @@ class Matcher:
     """Pieces of the items of one block in an Aho-Corasick automaton."""
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
-        self.items, self.budget = items, budget
+        self.items, self.budget = [(i, t if len(t) >= budget.min_chars else f" {t} ") for i, t in items], budget
         where: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
-            for at, piece in cut(text, budget.of(len(text))):
+        for k, (_, text) in enumerate(self.items):
+            for at, piece in cut(text, self.errors(text)):
                 where.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -94,6 +95,9 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
+    def errors(self, text: str) -> int:
+        return 0 if text[0] == " " else self.budget.of(len(text))
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the normalised text) of each item that occurs within its budget, best occurrence.
 
@@ -102,12 +106,13 @@ class Matcher:
         """
         if self.empty:
             return []
+        text = f" {text} "
         spans: dict[int, list[tuple[int, int]]] = {}
         for stop, (size, places) in self.automaton.iter(text):
             begin = stop + 1 - size
             for k, at in places:
                 n = len(self.items[k][1])
-                e = self.budget.of(n)
+                e = self.errors(self.items[k][1])
                 lo, hi = max(0, begin - at - e), min(len(text), begin - at + n + e)
                 known = spans.setdefault(k, [])
                 if known and known[-1][0] <= lo <= known[-1][1]:
@@ -117,7 +122,7 @@ class Matcher:
         out = []
         for k, windows in spans.items():
             item_id, pattern = self.items[k]
-            most = self.budget.of(len(pattern))
+            most = self.errors(pattern)
             best = (most + 1, -1)
             for lo, hi in windows:
                 at = text.find(pattern, lo, hi)
@@ -125,7 +130,7 @@ class Matcher:
                 if d < best[0]:
                     best = (d, lo + end)
             if best[0] <= most:
-                out.append((item_id, *best))
+                out.append((item_id, best[0], best[1] - 1 - (pattern[0] == " ")))
         return out
 
 
@@ -135,7 +140,7 @@ def blocks(benchmark: DataFrame, budget: Budget, item_id: str, text: str) -> Ite
     block, size, seen = [], 0, set()
     for row in bare.orderBy("i", "t").toLocalIterator():
         t = normalise(row.t)
-        if len(t) < budget.min_chars or (row.i, t) in seen:
+        if not t or (row.i, t) in seen:
             continue
         if block and size + len(t) > budget.block_chars:
             yield block
@@ -151,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, budget: Budget = B
     """docs with _hits: array of struct(item_id long, distance int, end long), sorted, one for each item that occurs in the text.
 
     An item occurs if some stretch of the normalised text (see normalise) is at most error_share of the item's
-    length away from it in edits.  A null or empty text has no hits; null item ids or texts are left out, repeated
+    length away from it in edits; an item of under min_chars characters, if it stands there as whole words.  A null or empty text has no hits; null item ids or texts are left out, repeated
     items count once; other columns of docs are carried as they are, under any name.  Items come in blocks of
     block_chars; each block is one narrow pass over the documents, so what is broadcast has a fixed bound.
     """
