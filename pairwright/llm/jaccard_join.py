@@ -407,6 +407,8 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
     described = materialise(describe(bare, join, frequency_levels(bare, join)), "sets")
     full = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     distinct = materialise(full.groupBy(*NAME).agg(F.min(F.struct("doc_id", "sketch", "prefix")).alias("s")).select(*NAME, "s.*"), "distinct")
+    named = materialise(described.select("doc_id", *NAME), "names")  # all that is still asked of every document
+    discard(described)
     keyed = entries(distinct, join, boundary(distinct, join))
     lead = materialise(keyed.groupBy("key").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.count("*").alias("size")).where("size > 1"), "leads")
     members = materialise(keyed.join(lead, "key").select("key", "id", "n", "size", "first", "first_n"), "members")
@@ -421,9 +423,9 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
             links = links.union(more)
             labels = components(links)
     discard(members)
-    named = distinct.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*NAME, F.coalesce("component", "doc_id").alias("component"))
-    every = described.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in NAME[:2]))
-    return every.join(named, NAME, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    components_ = distinct.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*NAME, F.coalesce("component", "doc_id").alias("component"))
+    every = named.select("doc_id", "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in NAME[:2]))
+    return every.join(components_, NAME, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
