@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairwright.llm import bpe, chat, decontaminate, jaccard_join, language_id, quality_rank, quality_rules, sharding, token_counts, toxicity
+from pairwright.llm import bpe, chat, decontaminate, jaccard_join, language_id, quality_rank, quality_rules, registry, sharding, token_counts, toxicity
 from pairwright.llm.common import texts, word_hashes
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -199,6 +200,85 @@ def test_ranking_gradient():
     assert s[y == 1].mean() > s[y == 0].mean() and abs((s < 0.5).mean() - (y == 0).mean()) < 0.03
 
 
+def plain_features(text):
+    """The numbers of operator 2, counted one by one."""
+    raw = text.encode()
+    kind = lambda b: 128 if b >= 128 else ord("A") if chr(b).isupper() else ord("a") if chr(b).islower() else ord("0") if chr(b).isdigit() else b
+    kinds = sorted({kind(b) for b in range(256)})
+    every, words = collections.Counter(map(kind, raw)), WORD.findall(raw)
+    ends, size = collections.Counter(kind(w[-1]) for w in words), collections.Counter(next(k for k, e in enumerate(quality_rank._EDGES) if len(w) <= e) for w in words)
+    low = [w.translate(LOWER) for w in words]
+    out = [math.sqrt(every[k] / len(raw)) if raw else 0.0 for k in kinds] + [math.sqrt(ends[k] / len(words)) if words else 0.0 for k in kinds]
+    out += [size[k] / len(words) if words else 0.0 for k in range(len(quality_rank._EDGES))]
+    return out + ([1 - len(set(low)) / len(low), sum(a == b for a, b in zip(low, low[1:], strict=False)) / len(low), math.log1p(len(raw)) / 10] if words else [0.0] * 3)
+
+
+def test_ranking_against_plain_loss(spark):
+    """Features and scores by plain counting; the loss over all preference pairs is close to the least there is."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    ranker = quality_rank.train(docs, labels)
+    got = {r.doc_id: r for r in registry.QUERIES["op2_pairwise_quality"](spark, sf).collect()}
+    assert set(got) == set(text)
+    for i, t in text.items():
+        z = (np.clip((np.array(plain_features(t)) - ranker.mean) / ranker.spread, -8, 8) * ranker.weights).sum()
+        score = 1 / (1 + math.exp(-max(-30, min(30, ranker.scale * (z - ranker.threshold)))))
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 4))
+    y = (x @ [1.0, -0.5, 0.2, 0.0] + rng.normal(size=120) > 0).astype(int)
+    r = quality_rank.fit(x, y, float((y == 0).mean()))
+    z = np.clip((x - r.mean) / r.spread, -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 5e-4 * w @ w
+    best = np.zeros(4)
+    for _ in range(3000):
+        best -= 0.5 * (-(d / (1 + np.exp(d @ best))[:, None]).mean(0) + 1e-3 * best)
+    assert loss(best) - 1e-9 <= loss(r.weights) <= loss(best) * 1.02
+
+
+def test_convolution_against_loops(spark, monkeypatch):
+    """Logits window by window, also where a text spans blocks; the query's scores are those."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    one = lambda t: toxicity.buckets(*texts(pa.array([t])))
+
+    def plain(t):
+        words = re.findall(r"[A-Za-z0-9'\u0080-\U0010ffff]+", t)
+        x = [m.embedding[one(w)[0][0]].sum(0, dtype=np.float64) for w in words]
+        z = m.out_bias
+        for k, f in enumerate(m.filters):
+            for q in range(toxicity.FILTERS):
+                values = [sum(x[i + j] @ f[j, :, q] for j in range(len(f)) if i + j < len(x)) for i in range(len(x))] + [0.0] * toxicity.TOP
+                for n, v in enumerate(sorted(values)[-toxicity.TOP :]):
+                    c = k * toxicity.FILTERS + q
+                    z += max(0.0, v + m.bias[n, c]) * m.out[n, c]
+        return z
+
+    text = {r.doc_id: r.text for r in docs.collect()}
+    some = sorted((i for i, t in text.items() if len(t) < 2500))[:25]
+    got = {r.doc_id: r for r in registry.QUERIES["op9_convolutional_toxicity"](spark, sf).collect()}
+    assert set(got) == set(text)
+    for size in (toxicity.BLOCK_WORDS, 7):
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", size)
+        assert m.logit(*toxicity.buckets(*texts(pa.array([text[i] for i in some])))) == pytest.approx([plain(text[i]) for i in some], abs=1e-3)
+    for i in some:
+        z = plain(text[i]) - m.threshold[m.languages.of(*one(text[i]))[0]] + math.log(0.7 / 0.3)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-3)
+
+
+def test_ties_leave_a_document_out():
+    docs = [np.array([[5, 9]], np.int32), np.array([[5, 7]], np.int32), np.array([[7, 0]], np.int32), np.array([[8, 9]], np.int32)]
+    y = np.array([1, 1, 0, 0])
+    every, zero, one = toxicity.ties(docs, y)
+    odds = lambda a, b: math.log((a + 2) / (b + 2))  # noqa: E731  half of the documents have label 1
+    assert [every[k] for k in (5, 7, 8, 9)] == pytest.approx([odds(2, 0), odds(1, 1), odds(0, 1), odds(1, 1)]) and every[0] == 0
+    assert [every[k] + one[k] for k in (5, 7, 9)] == pytest.approx([odds(1, 0), odds(0, 1), odds(0, 1)])
+    assert [every[k] + zero[k] for k in (7, 8, 9)] == pytest.approx([odds(1, 0), odds(0, 0), odds(1, 0)])
+
+
 # ---- 3 ----
 
 
@@ -225,7 +305,7 @@ def test_myers():
 def test_decontamination(spark, block):
     rng = random.Random(4)
     budget = decontaminate.Budget(0.06, 24, block)
-    items = [(k, syllables(rng, 12)) for k in range(8)] + [(None, "nothing here at all to be found"), (9, None), (0, "short"), (3, "")]
+    items = [(k, syllables(rng, 12)) for k in range(8)] + [(None, "nothing here at all to be found"), (9, None), (20, "short"), (21, "Same text!"), (22, "wo"), (23, "?!"), (3, "")]
     items.append((0, items[0][1]))
     rows = list(ODD)
     for n in range(60):
@@ -237,13 +317,15 @@ def test_decontamination(spark, block):
             at = rng.randrange(len(w))
             w[at:at] = [" ", *piece, "."]
         rows.append((200 + n, "".join(w)))
+    rows += [(300, "in short"), (301, "shorter, shortest"), (302, "Short."), (303, "wo")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, h.item_id): h.distance for r in decontaminate.find_contamination(documents(spark, rows), bench, budget).collect() for h in r._hits}
     want = {}
     for i, t in rows:
         for k, x in items:
-            if k is not None and x and len(p := decontaminate.normalise(x)) >= 24:
-                d = edit(p, decontaminate.normalise(t or ""))
+            if k is not None and x and (p := decontaminate.normalise(x)):
+                plain = decontaminate.normalise(t or "")
+                d = edit(p, plain) if len(p) >= 24 else 0 if f" {p} " in f" {plain} " else 99
                 if d <= budget.of(len(p)):
                     want[i, k] = d
     assert got == want and len(want) > 15
@@ -253,7 +335,7 @@ def test_decontamination(spark, block):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept = decontaminate.drop_contaminated(documents(spark, rows), bench, budget)
-    assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - len({i for i, _ in want})
+    assert kept.columns == documents(spark, []).columns and kept.count() == sum(i not in {k for k, _ in want} for i, _ in rows)
     assert decontaminate.find_contamination(documents(spark, rows), bench.limit(0)).where("size(_hits) > 0").count() == 0
 
 
@@ -274,10 +356,12 @@ def test_bpe(spark):
     want = []
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids
-        want.append((i, ",".join(map(str, ids)), len(ids), tok.decode(ids, skip_special_tokens=False)))
+        want.append((i, len(ids), ",".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want, key=str)
     digests = bpe.encode_documents(documents(spark, ODD), path, digests=True, keep=["doc_id", "c0"])
-    assert digests.columns == ["doc_id", "c0", "ids_sha256", "n_tokens", "decoded_sha256"]
+    assert digests.columns == ["doc_id", "c0", "n_tokens", "ids_sha256", "decoded_sha256"]
+    with pytest.raises(ValueError):
+        bpe.ByteBPE(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.decoded_sha256 for r in digests.where("doc_id = 4").collect()} == {hashlib.sha256(b"one").hexdigest()}
 
 
@@ -333,6 +417,44 @@ def test_quality_rules_keep_small_languages(spark, few):
     assert {r.doc_id for r in quality_rules.keep_good(docs).select("doc_id").collect()} == kept
 
 
+def test_quality_verdicts(spark):
+    """Every verdict of the query by plain counting: common words, references, distances, rules."""
+    sf = "/root/testdata/sf0.001"
+    rules, edges = quality_rules.Rules(), (1, 4, 12, 24)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: r for r in registry.QUERIES["op5_distribution_divergence"](spark, sf).collect()}
+    words = {r.doc_id: [w.decode() for w in WORD.findall(r.text.encode())] for r in rows}
+
+    def classes(t):
+        found = [sum(c in " \t\n\v\f\r" for c in t), sum(c in "#*$%&|<>" for c in t), t.count("!"), sum(unicodedata.category(c) == "Lu" for c in t), sum(c in ".,;:?'\"()-" for c in t)]
+        return np.array([*found, len(t) - sum(found)], float)
+
+    def far(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    judged = 0
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        long = [r for r in mine if len(words[r.doc_id]) >= rules.min_histogram_words]
+        counts = collections.Counter(w.lower() for r in long for w in words[r.doc_id] if any(c.isalpha() for c in w))
+        ranked = sorted(counts, key=lambda w: (-counts[w], w))[: edges[-1]]
+        bin_of = {w: next(k for k, e in enumerate(edges) if i < e) for i, w in enumerate(ranked)}
+        histogram = lambda r: np.bincount([bin_of.get(w.lower(), 4) for w in words[r.doc_id]], minlength=5).astype(float)
+        chars, common = sum(classes(r.text) for r in long), sum(histogram(r) for r in long)
+        for r in mine:
+            base = got[r.doc_id].base_failed
+            usable = len(long) >= rules.min_language_documents and words[r.doc_id]
+            c, w = (far(classes(r.text), chars), far(histogram(r), common)) if usable else (0.0, 0.0)
+            if usable:
+                assert (got[r.doc_id].char_distance, got[r.doc_id].word_distance) == pytest.approx((c, w), abs=1e-9)
+            assert got[r.doc_id].kept == (not base and c <= rules.max_char_distance and w <= rules.max_word_distance)
+            judged += 1
+    assert judged == len(got)
+
+
 def test_distance(spark):
     p, q = np.array([3.0, 1.0, 0.0]), np.array([0.2, 0.3, 0.5])
     x, m = p / 4, (p / 4 + q) / 2
@@ -382,6 +504,36 @@ def test_language(spark):
     assert language_id.predict(docs.limit(0), language_id.train(docs.limit(0), public_tokenizers.path(language_id.VOCABULARY))).count() == 0
 
 
+def test_language_predictions(spark):
+    """Every prediction of the query by a plain forward pass over each word's bytes."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = language_id.train(docs, public_tokenizers.path(language_id.VOCABULARY))
+    vocab = language_id.vocabulary(m.vocabulary)
+    index = dict(zip(vocab.codes.tolist(), vocab.index.tolist(), strict=True))
+    known = {}
+
+    def log_likelihood(w):
+        if w not in known:
+            raw, out = w.encode(), [np.ones(len(m.languages))]
+            for i in range(1, len(raw) + 1):
+                out.append(sum(out[j] * m.prob[p] for j in range(max(0, i - vocab.longest), i) if (p := index.get(vocab.code(raw[j:i]))) is not None))
+            known[w] = np.log(out[-1])
+        return known[w]
+
+    some = sorted((r for r in docs.collect() if len(r.text) < 1500), key=lambda r: r.doc_id)[:60]
+    got = {r.doc_id: r for r in registry.QUERIES["op6_marginal_unigrams"](spark, sf).collect()}
+    assert len(got) == docs.count()
+    for r in some:
+        found = language_id.split(r.text)
+        if not found:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        total = sum(map(log_likelihood, found))
+        assert got[r.doc_id].lang_pred == m.languages[int(total.argmax())]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp((total - total.max()) / math.sqrt(len(found))).sum(), abs=1e-6)
+
+
 # ---- 8 ----
 
 
@@ -438,13 +590,11 @@ def test_typed_parts(spark):
 
 @pytest.mark.parametrize("name", ["op8_hash_tree_sharding", "op10_typed_parts_chat"])
 def test_sql(spark, name):
-    from pairwright.llm.registry import ORACLES, QUERIES
-
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want, got = con.execute(ORACLES[name]).df(), QUERIES[name](spark, sf).toPandas()
+    want, got = con.execute(registry.ORACLES[name]).df(), registry.QUERIES[name](spark, sf).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     plain = lambda df: sorted(map(str, df[columns].astype(str).values.tolist()))
