@@ -17,6 +17,8 @@ from .common import discard, fold, materialise, pieces, read, texts
 
 #: Bounds of training: sample documents of a language; and rounds of expectation maximisation.
 SAMPLE_DOCUMENTS, ROUNDS = 500, 3
+#: Parts of a language among which its sample is sought at first.
+SALTS = 64
 #: Sample ids (documents by languages) up to which they are broadcast.
 BROADCAST_IDS = 200_000
 #: What a piece counts before any is seen.
@@ -189,8 +191,11 @@ def train(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     are counted, and broadcast up to BROADCAST_IDS.
     """
     usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = materialise(usable.withColumn("_n", nth).where(F.col("_n") <= SAMPLE_DOCUMENTS).select("doc_id", "lang").distinct(), "sample")
+    picked = usable.withColumn("_salt", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(SALTS)))
+    for group in (["lang", "_salt"], ["lang"]):  # the first of each part of a language, then of all: no task gets a language whole
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        picked = picked.withColumn("_n", nth).where(F.col("_n") <= SAMPLE_DOCUMENTS)
+    picked = materialise(picked.select("doc_id", "lang").distinct(), "sample")
     small = picked.count() <= BROADCAST_IDS
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     sample = body.join(F.broadcast(picked) if small else picked, "doc_id").select("lang", "text")
