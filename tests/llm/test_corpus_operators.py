@@ -610,13 +610,18 @@ def test_pipeline(spark):
     before = {r.doc_id: r.text for r in docs.collect()}
     columns = docs.columns
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, sf)
+        given, docs = docs, stage(spark, docs, sf)
         rows = docs.collect()
         docs = spark.createDataFrame(rows, docs.schema)
         ids = [r.doc_id for r in rows]
         assert len(ids) == len(set(ids)) and set(ids) <= set(before)
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == columns
+        if k == 0:
+            assert set(ids) == {r.doc_id for r in quality_rules.quality_report(given).where("kept").collect()}
+        if k == 1:
+            labels = spark.read.parquet(f"{sf}/labels.parquet")
+            assert set(ids) == {r.doc_id for r in toxicity.score_documents(given, toxicity.train(given, labels)).where("predicted = 0").collect()} < set(before)
         if k == 2:
             parts = {i: c for i, _, c in plain_components(list(before.items()), 5, 80)}
             assert set(ids) == {c for c in parts.values()}
@@ -626,5 +631,25 @@ def test_pipeline(spark):
         if k == 4:
             tok = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
             assert {r.doc_id: r.n_tokens for r in rows} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in before.items()}
+            assert {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()} == {tuple(r) for r in rows}
         else:
             before = {i: before[i] for i in ids}
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_rows(spark, empty):
+    """Nulls, repeated rows, ties and no rows at all go through every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rng = random.Random(9)
+    body = [(5000 + i, syllables(rng, 80), "xx", "s", 1) for i in range(4)]
+    rows = [] if empty else [(i, t, None, None, None) for i, t in ODD] + body + [body[0]] + [(None, syllables(rng, 80), None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), schema if k + 1 < len(corpus_pipeline.STAGES) else None) if not empty else stage(spark, docs, sf)
+        if k == 0 and not empty:
+            assert sorted((r.doc_id for r in docs.collect()), key=str) == [5000, 5000, 5001, 5002, 5003, None]
+    left = [r.doc_id for r in docs.collect()]
+    assert sorted(left, key=str) == ([] if empty else [5000, 5001, 5002, 5003, None])
