@@ -300,7 +300,7 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
     bucket; buckets within one component are done.
     """
     named = members.join(labels, "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    mixed = materialise(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")  # a plain table, so that the join with it can split a hot key
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     open_ = named.join(mixed, "key").join(distinct.select(F.col("doc_id").alias("id"), "sketch"), "id")
