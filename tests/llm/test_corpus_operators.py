@@ -166,7 +166,8 @@ def labelled(spark, seed=1, n=240):
 def test_classifiers(spark, which):
     docs, labels, truth = labelled(spark)
     module, label = ((quality_rank, "quality"), (toxicity, "toxic"))[which]
-    got = module.score_documents(docs, module.train(docs, labels, label)).collect()
+    clashing = labels.withColumn("text", F.lit("scum")).withColumn("label", F.lit(7)).withColumn("prefix", F.lit(None))
+    got = module.score_documents(docs, module.train(docs, clashing, label)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     out = [r for r in got if r.held_out and r.doc_id in truth]
@@ -497,7 +498,9 @@ def test_language(spark):
     odd = [(1000 + k, t, None) for k, (_, t) in enumerate(ODD)] + [(None, "kato mira", "aa"), (2000, None, "bb"), (2001, "a" * 5000, None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs, public_tokenizers.path(language_id.VOCABULARY))).collect()
+    again = language_id.predict(docs.union(docs), language_id.train(docs.union(docs), public_tokenizers.path(language_id.VOCABULARY))).collect()
     truth = {i: name for i, _, name in rows}
+    assert len(again) == 2 * len(got) and all(r.lang_pred == truth[r.doc_id] for r in again if r.doc_id in truth)
     assert len(got) == len(rows) + len(odd) and all(r.lang_pred == truth[r.doc_id] for r in got if r.doc_id in truth)
     text = {i: t for i, t, _ in odd}
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id] or "")) for r in got if r.doc_id in text)
