@@ -19,6 +19,8 @@ CHUNK_BYTES = 2 << 20
 CELLS = 1 << 20
 #: Members of a bucket block that one task compares with another block, and bytes of sketches that it compares at a time.
 BLOCK, COMPARE_BYTES = 2048, 4 << 20
+#: Pairs that a task remembers, so as to send each once however many buckets they share.
+SEEN_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -309,7 +311,17 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen = None, set()
+
+        def fresh(found: pa.RecordBatch) -> pa.RecordBatch:
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            new = []
+            for pair in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+                new.append(pair not in seen)
+                seen.add(pair)
+            return found.filter(pa.array(new, pa.bool_()))
+
         for batch in batches:
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             marks = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
@@ -317,9 +329,9 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
             last = int(change[-1]) + 1 if len(change) else 0  # the last bucket may go on in the next batch
             held = t.slice(last).combine_chunks()
             if last:
-                yield from compare(t.slice(0, last).combine_chunks(), join, nearest)
+                yield from map(fresh, compare(t.slice(0, last).combine_chunks(), join, nearest))
         if held is not None and held.num_rows:
-            yield from compare(held, join, nearest)
+            yield from map(fresh, compare(held, join, nearest))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
