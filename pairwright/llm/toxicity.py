@@ -310,7 +310,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     found = [np.asarray(x.values, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows.column("words")]
     y = rows.column("label").to_numpy()
     held = [max(1, int((y == v).sum())) for v in (0, 1)]
-    return fit(found, y, (counts.get(0, 0) / held[0], counts.get(1, 0) / held[1]))
+    model = fit(found, y, (counts.get(0, 0) / held[0], counts.get(1, 0) / held[1]))
+    del found, rows
+    pa.default_memory_pool().release_unused()  # else the driver keeps room for a sample
+    return model
 
 
 def _scorer(docs: DataFrame, model: Convolution):
