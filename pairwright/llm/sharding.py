@@ -75,7 +75,7 @@ def descend(rows: DataFrame, leaves: list[Leaf], key: str = "_key", prefix: str
             for name, n in zip(LEVELS, path, strict=False):
                 here = here & (F.col(prefix + name) == n)
             chosen = F.when(here, best) if chosen is None else chosen.when(here, best)
-        rows = rows.withColumn(prefix + level, chosen)
+        rows = rows.withColumn(prefix + level, chosen.otherwise(F.lit(-1)))  # never null, or joins would test that by drawing again
     return rows
 
 
