@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix, pieces, read, texts, word_hashes
@@ -21,6 +21,8 @@ CELLS = 1 << 20
 BLOCK, COMPARE_BYTES = 2048, 4 << 20
 #: Pairs that a task remembers, so as to send each once however many buckets they share.
 SEEN_PAIRS = 200_000
+#: First open keys of its set that a row has with it, by which a pair is left to the first bucket it shares.
+EARLY = 8
 
 
 @dataclass(frozen=True)
@@ -201,6 +203,17 @@ def entries(distinct: DataFrame, join: Join, light: int) -> DataFrame:
     return distinct.select(F.col("doc_id").alias("id"), "n", "prefix").mapInArrow(run, "key long, id long, n int")
 
 
+def leads(keyed: DataFrame) -> DataFrame:
+    """(key, first, first_n, size): a bucket's smallest id, that set's size, and the count of members, two at least.
+
+    Of buckets with the same members, by 128 bits of digest, first and count, one stays: all of them hold the same
+    pairs, and near copies share hundreds of keys.
+    """
+    digests = [F.bit_xor(F.xxhash64("id", "n")).alias("m"), F.bit_xor(F.xxhash64("n", "id")).alias("m2")]
+    found = keyed.groupBy("key").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.count("*").alias("size"), *digests).where("size > 1")
+    return found.groupBy("first", "first_n", "size", "m", "m2").agg(F.min("key").alias("key")).select("key", "first", "first_n", "size")
+
+
 # ---- verification ----------------------------------------------------------------------------------------------
 
 
@@ -300,14 +313,20 @@ def across(members: DataFrame, labels: DataFrame, distinct: DataFrame, join: Joi
 
     A bucket of more than BLOCK members is split in blocks and each two blocks meet in a task, so no task holds a
     bucket; buckets within one component are done.
+
+    Near copies share many buckets, in as many tasks.  Each row has the EARLY smallest open keys of its set, and a
+    bucket leaves a pair to an earlier one that both rows name.  The first bucket that a pair shares never leaves it,
+    so none is lost; a pair that neither names in common is sent by each task that meets it.
     """
     named = members.join(labels, "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
     mixed = materialise(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")  # a plain table, so that the join with it can split a hot key
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     open_ = named.join(mixed, "key").join(distinct.select(F.col("doc_id").alias("id"), "sketch"), "id")
-    dealt = open_.select("key", "id", "n", "component", "sketch", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "component", "sketch")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))))  # unsigned, as in prefixes
+    open_ = open_.withColumn("place", place).withColumn("early", F.collect_list(F.when(F.col("place") <= EARLY, F.col("key"))).over(Window.partitionBy("id")))
+    dealt = open_.select("key", "id", "n", "component", "sketch", "early", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "component", "sketch", "early")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +391,17 @@ class Sketches:
         return out
 
 
+def first_keys(column: pa.Array) -> np.ndarray:
+    """Lists of at most EARLY keys, unsigned, as rows of a matrix; the rest holds the largest number, which is below no key."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values, off = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets).astype(np.int64)
+    out = np.full((len(column), EARLY), np.iinfo(np.uint64).max, np.uint64)
+    own = np.repeat(np.arange(len(column)), np.diff(off))
+    out[own, np.arange(off[0], off[-1]) - off[own]] = values[off[0] : off[-1]]
+    return out
+
+
 def compare(t: pa.Table, join: Join, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of the rows of whole buckets, sorted by (key, i, j, n): see across()."""
     column = lambda name: t.column(name).to_numpy().astype(np.int64)
@@ -381,7 +411,7 @@ def compare(t: pa.Table, join: Join, nearest: bool) -> Iterator[pa.RecordBatch]:
     last = np.searchsorted(place + n, place + n * 100 // join.percent, "right")  # sets that are not too large to link
     count = np.maximum(last - np.arange(len(n)) - 1, 0)
     done = np.concatenate([[0], np.cumsum(count)])
-    sketches, at = Sketches(t.column("sketch")), 0
+    sketches, early, at = Sketches(t.column("sketch")), first_keys(t.column("early")), 0
     while at < len(n):
         stop = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 18), "right")) - 1)
         left = np.repeat(np.arange(at, stop), count[at:stop])
@@ -391,6 +421,11 @@ def compare(t: pa.Table, join: Join, nearest: bool) -> Iterator[pa.RecordBatch]:
         bits = sketches.difference(left, right)
         near_enough = bits <= join.difference(n[left], n[right])
         left, right, bits = left[near_enough], right[near_enough], bits[near_enough]
+        elsewhere = np.zeros(len(left), bool)
+        for k in range(EARLY):  # a key that both have, before this one
+            mark = early[left, k]
+            elsewhere |= (mark < key[left].view(np.uint64)) & (early[right] == mark[:, None]).any(1)
+        left, right, bits = left[~elsewhere], right[~elsewhere], bits[~elsewhere]
         if nearest and len(left):
             order = np.lexsort((bits, left))
             left, right = left[order], right[order]
@@ -422,15 +457,22 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
     named = materialise(described.select("doc_id", *NAME), "names")  # all that is still asked of every document
     discard(described)
     keyed = entries(distinct, join, boundary(distinct, join))
-    lead = materialise(keyed.groupBy("key").agg(F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"), F.count("*").alias("size")).where("size > 1"), "leads")
+    lead = materialise(leads(keyed), "leads")
     members = materialise(keyed.join(lead, "key").select("key", "id", "n", "size", "first", "first_n"), "members")
     discard(lead)
     fits = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * join.percent
     stars = members.where(fits & (F.col("first") < F.col("id"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(verify(near(stars, distinct, join), bare, join), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")  # verification reads them twice
+        found = materialise(verify(pairs, bare, join), "links")
+        discard(pairs)
+        return found
+
+    links = linked(near(stars, distinct, join))
     labels = components(links)
     for nearest in (True, False):
-        more = materialise(verify(across(members, labels, distinct, join, nearest), bare, join), "links")
+        more = linked(across(members, labels, distinct, join, nearest))
         if more.take(1):
             links = links.union(more)
             labels = components(links)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import unicodedata
+import uuid
 import zlib
 
 import duckdb
@@ -112,6 +113,35 @@ def test_jaccard_large_buckets(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 3, 85)
 
 
+def test_jaccard_sends_pairs_once(spark, monkeypatch, tmp_path):
+    """Near copies that don't quite link share many buckets, of which one sends a pair; buckets of the same members are one."""
+    compare = jaccard_join.compare
+
+    def noted(t, join, nearest):
+        for batch in compare(t, join, nearest):
+            (tmp_path / uuid.uuid4().hex).write_text("".join(f"{nearest} {a} {b}\n" for a, b in zip(*(c.to_pylist() for c in batch.columns))))
+            yield batch
+
+    monkeypatch.setattr(jaccard_join, "compare", noted)
+    rng = random.Random(8)
+    base, places = syllables(rng, 160).split(), iter(range(2, 160, 4))
+    rows = []
+    for n in range(12):  # sets of two differ by 36 shingles; linked ones by 35 at most
+        w = list(base)
+        for _ in range(3):
+            w[next(places)] = f"other{n}"
+        rows.append((n, " ".join(w)))
+    got = jaccard_join.jaccard_components(documents(spark, rows), jaccard_join.Join(3, 80)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_components(rows, 3, 80)
+    sent = [line for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert len(sent) > 15 and len(sent) == len(set(sent))
+
+
+def test_jaccard_leads(spark):
+    keyed = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (2, 11, 6), (2, 10, 5), (3, 10, 5), (3, 12, 6), (4, 10, 5), (5, 10, 5), (5, 11, 6), (5, 12, 6)], "key long, id long, n int")
+    assert sorted(map(tuple, jaccard_join.leads(keyed).collect())) == [(1, 10, 5, 2), (3, 10, 5, 2), (5, 10, 5, 3)]
+
+
 def test_jaccard_schemes_agree(spark):
     """The light scheme, the heavy one, and a boundary between them reach all linked pairs."""
     rows = [(i, t) for i, t in near_copies(9)]
