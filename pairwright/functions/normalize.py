@@ -31,7 +31,14 @@ _TEXT_STEPS = (
 # The words that compression drops, before and after signs are dropped, and its patterns.
 STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "in", "on", "at", "to", "with", "by", "from", "is", "it", "this", "that", "as"]
 SHOP_WORDS = ["free", "shipping", "included", "certified", "refurbished", "brand", "item", "product", "please", "note", "click", "here", "more", "details", "information", "features", "description"]
-BOILERPLATE = (r"http\S+", r"www\.\S+", rf"\b(?:{'|'.join(STOP_WORDS)})\b", r"[^\w\s]", rf"\b(?:{'|'.join(SHOP_WORDS)})\b")
+
+
+def _whole_words(words: list[str]) -> str:
+    """A pattern of whole words, which looks at a first letter before it looks for the edge of a word."""
+    return rf"(?=[{''.join(sorted({w[0] for w in words}))}])\b(?:{'|'.join(words)})\b"
+
+
+BOILERPLATE = (r"http\S+", r"www\.\S+", _whole_words(STOP_WORDS), r"[^\w\s]", _whole_words(SHOP_WORDS))
 #: A token that carries signal once signs are gone: alphanumerics, groups of them joined by single underscores.
 SIGNAL = r"(?i)^[a-z0-9]+(?:_[a-z0-9]+)*$"
 
@@ -129,20 +136,23 @@ def compressed(column: Column, min_tokens: int = 10) -> Column:
     """A text of at most min_tokens tokens lower-cased and stripped; of a longer one the tokens with signal, without
     boilerplate, once each (first spelling, any case counts as the same), or the cleaned text if none has any.
 
-    Tokens are sorted by (lower case, place), the first of each kept, and those sorted by place: n log n a text,
-    within its row.
+    Of equal tokens the first is kept by hash; those are sorted by (lower case, place), the first of each kept, and
+    those sorted by place: n log n a text, within its row, by sort_array(), which evaluates no expression to compare.
     """
     value = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
-
-    def kept(clean: Column) -> Column:
-        tokens = F.filter(F.split(clean, r"(?U)\s+"), lambda t: t.rlike(SIGNAL))
-        placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("token"))))
-        first = value(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["low"] != F.get(p, i - 1)["low"])))
-        words = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
-        return value(F.array_join(F.transform(words, lambda x: x["token"]), " "), lambda w: F.when(w == "", clean).otherwise(w))
-
-    short = F.size(F.filter(F.split(bare(column), r"(?U)\s+"), lambda t: t != "")) <= min_tokens
-    return F.when(short, basic(column)).otherwise(value(strip(without_boilerplate(column)), kept))
+    plain = bare(column)
+    low = F.lower(plain)
+    linked = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www."))
+    without_links = F.when(linked, reduce(lambda c, p: F.regexp_replace(c, f"(?iU){p}", " "), BOILERPLATE[:2], plain)).otherwise(plain)
+    # Signs become blanks, so tokens are what stands between \W; one with signal is ASCII, so words to drop are told by their lower case.
+    tokens = F.filter(F.array_distinct(F.split(without_links, r"(?U)\W+")), lambda t: t.rlike(SIGNAL) & ~F.lower(t).isin(STOP_WORDS + SHOP_WORDS))
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("token"))))
+    first = value(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["low"] != F.get(p, i - 1)["low"])))
+    words = F.sort_array(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+    kept = value(F.array_join(F.transform(words, lambda x: x["token"]), " "), lambda w: F.when(w == "", strip(without_boilerplate(column))).otherwise(w))
+    head = F.split(plain, r"(?U)\s+", max(1, min_tokens + 2))  # a first piece may be empty, and the last is the rest
+    short = F.size(F.filter(head, lambda t: t != "")) <= min_tokens
+    return F.when(short, basic(column)).otherwise(kept)
 
 
 def compress(df: DataFrame, columns: list[str], min_tokens: int = 10) -> DataFrame:
